@@ -24,23 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
 def store(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage with a replicated copy: a lost executor costs no
+    This cuts the lineage with a copy that all executors reach: a lost executor costs no
     recomputation of what stands above.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a stored table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        while not p.getName().startswith("chronoloom-"):
-            p = p.getParent()
-        p.getFileSystem(conf).delete(p, True)
+    """Delete the files of a table made by ``store`` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
