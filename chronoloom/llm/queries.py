@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from chronoloom.llm import host_rules, line_dedup
+from chronoloom.llm import host_rules, line_dedup, near_dedup
 
 QUERIES = {
     "op4_host_rules": host_rules.op4_host_rules,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 ORACLE_SQL = {
     "op4_host_rules": host_rules.ORACLE_SQL,
     "op5_line_dedup": line_dedup.ORACLE_SQL,
+    "op10_near_dedup": near_dedup.ORACLE_SQL,
 }
