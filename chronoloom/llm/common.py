@@ -41,5 +41,14 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, limit: int = 4_000_000) -> None:
+    """Bound the bytes of the session's Arrow batches.
+
+    The default bounds rows, made for narrow ones: 10,000 texts are tens of megabytes, held
+    several times over by the JVM and the Python worker of each task.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from chronoloom.llm import host_rules, line_dedup, near_dedup
+from chronoloom.llm import byte_bpe, host_rules, line_dedup, near_dedup
 
 QUERIES = {
     "op4_host_rules": host_rules.op4_host_rules,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
