@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chronoloom.llm import byte_bpe, host_rules, line_dedup, near_dedup
+from chronoloom.llm import byte_bpe, host_rules, line_dedup, near_dedup, token_files
 
 QUERIES = {
+    "op3_token_files": token_files.op3_token_files,
     "op4_host_rules": host_rules.op4_host_rules,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
