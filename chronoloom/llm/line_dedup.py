@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoloom.llm.common import discard, read_table, shuffle_partitions, store
+from chronoloom.llm.common import discard, read_table, shuffle_partitions, small_batches, store
 
 MIN_CHARS = 10
 N_BATCHES = 4
@@ -140,6 +140,7 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_
 
     A null text stays null where nothing is counted against it: it has one line and loses none.
     """
+    small_batches(docs.sparkSession)
     gone = removed_lines(docs, text, doc_id, min_chars, n_batches, fanout)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
