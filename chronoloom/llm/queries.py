@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from chronoloom.llm import byte_bpe, host_rules, line_dedup, near_dedup, token_files
+from chronoloom.llm import byte_bpe, decontaminate, host_rules, line_dedup, near_dedup, token_files
 
 QUERIES = {
     "op3_token_files": token_files.op3_token_files,
     "op4_host_rules": host_rules.op4_host_rules,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
