@@ -8,10 +8,11 @@
    the bucket's smallest member (its pivot), a number of pairs that grows with
    the members, not with their square.
 4. Verified links are contracted by union-find. In buckets that still hold
-   several components, the members are dealt into bounded cells that meet
-   pairwise; a cell compares signatures in memory and puts out only those pairs
-   across components whose estimate is near the threshold. These are verified,
-   so no link within a bucket is left untested for want of a luckier pivot.
+   several components, the members are dealt into bounded parts that meet
+   pairwise in cells; a cell compares signatures in memory, verifies the pairs
+   across components whose estimate is near the threshold and puts out links
+   only, so no link within a bucket is lost for want of a luckier pivot and no
+   pair that fails is ever a row.
 5. Components are contracted again, to the smallest doc_id of each.
 
 Verification compares the whole shingle sets, as integers. A pair at exactly
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import read_table, store
+from chronoloom.llm.common import read_table, small_batches, store
 from chronoloom.llm.textops import mix, shingle_sets
 
 BANDS, BAND_ROWS = 32, 5
@@ -41,7 +42,9 @@ SLOTS = BANDS * BAND_ROWS
 #: Pairs whose signatures agree in a smaller share of slots are not verified: 3.8 standard
 #: deviations below 0.8, and much less for any higher similarity.
 LEAST_ESTIMATE = 0.68
+#: Members and shingles in a part of a bucket.
 CELL = 512
+CELL_SHINGLES = 400_000
 _SEED = np.uint64(0xA0761D6478BD642F)
 _STEP = np.arange(1, SLOTS + 257, dtype=np.uint64) * _SEED
 
@@ -179,11 +182,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ok = []
             for x, y in zip(a, b, strict=True):
-                x, y = sets[x], sets[y]
-                both = 0
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+                ok.append(_close(sets[x], sets[y], percent))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -192,26 +191,52 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of cells, the pairs across components whose signatures agree enough."""
-    for batch in batches:
-        found_a, found_b = [], []
-        for cell in batch.column(0).to_pylist():
-            ids = np.array([x["d"] for x in cell])
-            comp = np.array([x["component"] for x in cell])
-            part = np.array([x["part"] for x in cell])
-            if len(ids) < 2 or (comp == comp[0]).all():
-                continue
-            sig = np.frombuffer(b"".join(x["sig"] for x in cell), np.uint16).reshape(len(ids), SLOTS)
-            two = (part != part[0]).any()
-            for i in range(len(ids) - 1):
-                other = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((part[i + 1 :] != part[i]) | (not two))) + i + 1
-                hit = other[(sig[other] == sig[i]).sum(1) >= LEAST_ESTIMATE * SLOTS]
-                found_a.append(np.minimum(ids[hit], ids[i]))
-                found_b.append(np.maximum(ids[hit], ids[i]))
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _close(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _cell_links(cell: list[dict], k: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Verified links across components in one cell, enough of them to connect all that are linked.
+
+    Pairs go from the most to the least alike, and a pair that earlier links already connect is
+    not compared again. In a cell of two parts only pairs across the parts are looked at.
+    """
+    comp = [x["component"] for x in cell]
+    part = np.array([x["part"] for x in cell])
+    if len(cell) < 2 or len(set(comp)) == 1:
+        return
+    sig = np.frombuffer(b"".join(x["sig"] for x in cell), np.uint16).reshape(len(cell), SLOTS)
+    _, group = np.unique(np.array(comp), return_inverse=True)
+    two = (part != part[0]).any()
+    near = []
+    for i in range(len(cell) - 1):
+        other = np.flatnonzero((group[i + 1 :] != group[i]) & ((part[i + 1 :] != part[i]) | (not two))) + i + 1
+        agree = (sig[other] == sig[i]).sum(1)
+        hit = agree >= LEAST_ESTIMATE * SLOTS
+        near.append(np.stack([agree[hit], np.full(hit.sum(), i), other[hit]]))
+    pairs = np.concatenate(near, axis=1)
+    pairs = pairs[:, np.argsort(-pairs[0], kind="stable")]
+    used = np.unique(pairs[1:])
+    sets: dict[int, np.ndarray] = {}
+    for row, h, bounds in shingle_sets(pa.array([cell[i]["t"] for i in used.tolist()], pa.large_string()), k):
+        for x in range(len(bounds) - 1):
+            sets[int(used[row + x])] = h[bounds[x] : bounds[x + 1]]
+    up = list(range(int(group.max()) + 1))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i, j in pairs[1:].T.tolist():
+        a, b = find(group[i]), find(group[j])
+        if a != b and _close(sets[i], sets[j], percent):
+            up[a] = b
+            yield cell[i]["d"], cell[j]["d"]
 
 
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +247,38 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
+def linked_across(tagged: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): verified links between the components that meet in one bucket.
+
+    ``tagged`` has (band, d, component). A bucket's members are split into the smallest component
+    and the rest, each dealt by hash into parts of bounded numbers of members and shingles, and
+    every two parts that can hold a pair across components meet in one cell.
+    """
+    sized = tagged.join(sketch, "d")
+    main = F.col("component") == F.col("lo")
+    lows = tagged.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "lo")
+    split = sized.join(lows, "band").withColumn("main", main)
+    parts = lambda m: F.ceil(F.greatest(F.sum(F.when(F.col("main") == m, 1)) / CELL, F.sum(F.when(F.col("main") == m, F.col("n"))) / CELL_SHINGLES)).cast("int")
+    counted = split.groupBy("band").agg(F.first("lo").alias("lo"), F.count(F.lit(1)).alias("size"), parts(True).alias("p"), parts(False).alias("q"), F.sum(F.xxhash64("d", "component") / 4).alias("s1"), F.sum(F.xxhash64(F.lit(1), "d") / 4).alias("s2"))
+    # buckets with the same members need one look
+    once = counted.groupBy("size", "s1", "s2").agg(F.min_by(F.struct("band", "lo", "p", "q"), "band").alias("x")).select("x.*")
+    dealt = sized.join(once, "band").withColumn("main", main)
+    dealt = dealt.withColumn("part", F.when(F.col("main"), F.pmod(F.xxhash64("d"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("d"), F.col("q"))).cast("int"))
+    meets = F.sequence(F.when(F.col("main"), F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)
+    dealt = dealt.withColumn("other", F.explode(meets)).join(texts, "d")
+    cells = dealt.groupBy("band", F.least("part", "other").alias("c1"), F.greatest("part", "other").alias("c2")).agg(F.collect_list(F.struct("d", "component", "part", "sig", "t")).alias("cell"))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for cell in batch.column(0).to_pylist() for x in _cell_links(cell, k, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return cells.select("cell").mapInArrow(link, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     rows = store(sketches(docs, text, doc_id, k))
     ready = rows.where("n > 0 AND d IS NOT NULL")
     # bands and signatures are functions of the set, so any row's will do
@@ -233,10 +288,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("pivot")).where("size > 1")
     members = store(banded.join(buckets, "band"))
 
-    sigs = classes.select("d", "sig").dropDuplicates(["d"])
+    sigs = classes.select("d", "sig")
     pairs = members.where("d <> pivot").select(F.col("pivot").alias("a"), F.col("d").alias("b")).distinct()
     pairs = pairs.join(sigs.select(F.col("d").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("d").alias("b"), F.col("sig").alias("sb")), "b")
-    pairs = store(pairs.select("a", "b", "sa", "sb").mapInArrow(_estimated, "a long, b long"))
+    pairs = store(pairs.select("a", "b", "sa", "sb").mapInArrow(_estimated, "a long, b long").distinct())
 
     ids = members.select("d").distinct()
     texts = store(docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).join(ids, "d", "left_semi"))
@@ -248,15 +303,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     found = store(components(links))
 
     tagged = members.where("size > 2").join(found, F.col("d") == F.col("node"), "left").withColumn("component", F.coalesce("component", "d")).drop("node")
-    mixed = tagged.groupBy("band").agg(F.min("size").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("d") / 4).alias("s1"), F.sum(F.xxhash64(F.lit(1), "d") / 4).alias("s2")).where("lo <> hi")
-    # buckets with the same members need one look
-    once = mixed.groupBy("size", "s1", "s2").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("size") / CELL).cast("int").alias("parts"))
-    dealt = tagged.join(once, "band").withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int")).join(sigs, "d")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = dealt.groupBy("band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).agg(F.collect_list(F.struct("d", "component", "part", "sig")).alias("cell"))
-    more = store(cells.select("cell").mapInArrow(_near, "a long, b long").distinct())
+    more = store(linked_across(tagged, classes.select("d", "sig", "n"), texts, k, percent))
     if not more.isEmpty():
-        found = store(components(links.unionByName(verified(more, texts, k, percent))))
+        found = store(components(links.unionByName(more)))
 
     grouped = rows.join(classes.select("n", "f1", "f2", F.col("d").alias("c")), ["n", "f1", "f2"], "left")
     grouped = grouped.join(found, F.col("c") == F.col("node"), "left")
