@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoloom.llm.common import read_table
+from chronoloom.llm.common import read_table, small_batches, store
 from chronoloom.llm.textops import SPACE, Bytes, Words, slices
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -145,14 +145,17 @@ def apply_host_rules(docs: DataFrame, text: str = "text", host: str = "source")
     Texts are measured twice, once for the hosts and once to filter, which costs less than
     carrying them through a shuffle.
     """
-    per_host = host_verdicts(measured(docs, text, (host,)), host)
+    small_batches(docs.sparkSession)
+    per_host = store(host_verdicts(measured(docs, text, (host,)), host))
     tagged = docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in COUNTS or c in ("base_failed", "host_rejected", "kept")})
     return judged(measured(tagged, text), host, per_host).where("kept").select(*(F.col(f"_own_{c}").alias(c) if f"_own_{c}" in tagged.columns else F.col(c) for c in docs.columns))
 
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = measured(read_table(spark, sf_dir, "documents"), keep=("doc_id", "source"))
-    return judged(counts).select("doc_id", *COUNTS, "base_failed", "kept", "host_rejected")
+    small_batches(spark)
+    counts = store(measured(read_table(spark, sf_dir, "documents"), keep=("doc_id", "source")))
+    # a stored table has a known size: hosts are broadcast if few, else split where one is hot
+    return judged(counts, per_host=store(host_verdicts(counts))).select("doc_id", *COUNTS, "base_failed", "kept", "host_rejected")
 
 
 def _sql() -> str:
