@@ -124,7 +124,10 @@ def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
         for i in range(len(cuts or []) + 1):
             own = lines.where(F.col("batch") == i)
             fresh = spark.table(runs.add(own.groupBy("h1", "h2").agg(F.min("d").alias("owner"))))
-            lost = own.join(fresh, ["h1", "h2"], "left").where(~F.col("d").eqNullSafe(F.col("owner"))).select("d", "line_no")
+            # read as a plain table: a line of very many documents is split between tasks only
+            # where both sides of the join are shuffled
+            fresh = fresh.select(F.expr("h1 ^ 0L").alias("h1"), F.expr("h2 ^ 0L").alias("h2"), "owner")
+            lost = own.join(fresh.hint("merge"), ["h1", "h2"], "left").where(~F.col("d").eqNullSafe(F.col("owner"))).select("d", "line_no")
             # each batch's verdict is written: the runs may be merged or dropped afterwards
             lost = store(lost.groupBy("d").agg(F.collect_set("line_no").alias("gone")))
             gone = lost if gone is None else gone.unionByName(lost)
@@ -160,7 +163,9 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_
             yield pa.RecordBatch.from_arrays([*(kept if c == text else batch.column(c) for c in names), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
     own = docs.select(*names)
-    joined = own.join(gone.select(F.col("d").alias("_d"), F.col("gone").alias("_gone")), F.coalesce(own[doc_id], F.lit(_LAST)) == F.col("_d"), "left").drop("_d")
+    # always a merge join, so that the plan and its shuffle do not change with the size of ``gone``
+    lost = gone.select(F.col("d").alias("_d"), F.col("gone").alias("_gone")).hint("merge")
+    joined = own.join(lost, F.coalesce(own[doc_id], F.lit(_LAST)) == F.col("_d"), "left").drop("_d")
     return joined.mapInArrow(cut, schema)
 
 
