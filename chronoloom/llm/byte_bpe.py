@@ -31,8 +31,6 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
-import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +40,11 @@ from chronoloom.llm.common import read_table, shuffle_partitions, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text in a block of documents; a longer document is a block of its own.
-BLOCK_BYTES = 8_000_000
-LEAST_BUCKETS = 1024
+BLOCK_BYTES = 16_000_000
+LEAST_BUCKETS = 128
+_LEVEL = 3
+#: Pre-tokens that are replaced by ids at a time.
+_STEP_WORDS = 250_000
 
 
 @lru_cache(2)
@@ -53,7 +54,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(2)
-def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
+def _encoding(path: str, pattern: str):
+    import tiktoken  # only workers that encode load it
+
     return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
@@ -69,7 +72,7 @@ def _token_bytes(path: str) -> pa.Array:
 def _pack(a: np.ndarray) -> bytes:
     """Little-endian integers by byte planes, which compress close to their entropy."""
     a = np.ascontiguousarray(a, "<u4")
-    return zstandard.compress(a.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(a.view(np.uint8).reshape(-1, 4).T.tobytes(), _LEVEL)
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -77,6 +80,34 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
+_COMMON = 240
+
+
+def _pack_seq(a: np.ndarray) -> bytes:
+    """Numbers of which small ones are common: a byte each for those below 240; else the byte says
+    the higher bits of what is above, and two more bytes the lower ones."""
+    small = a < _COMMON
+    rest = (a[~small] - _COMMON).astype(np.uint32)
+    high = rest >> 16
+    if len(high) and high.max() >= 256 - _COMMON:
+        return b"\0" + _pack(a)
+    first = a.astype(np.uint8)
+    first[~small] = _COMMON + high
+    parts = [zstandard.compress(first.tobytes(), _LEVEL), zstandard.compress((rest & 0xFF).astype(np.uint8).tobytes(), _LEVEL), zstandard.compress((rest >> 8 & 0xFF).astype(np.uint8).tobytes(), _LEVEL)]
+    return b"\1" + np.array([len(x) for x in parts], "<u4").tobytes() + b"".join(parts)
+
+
+def _unpack_seq(data: bytes) -> np.ndarray:
+    if data[0] == 0:
+        return _unpack(data[1:])
+    ends = 13 + np.cumsum(np.frombuffer(data, "<u4", 3, 1).astype(np.int64))
+    first, low, mid = (np.frombuffer(zstandard.decompress(data[a:b]), np.uint8) for a, b in zip([13, *ends[:2]], ends, strict=True))
+    out = first.astype(np.uint32)
+    far = first >= _COMMON
+    out[far] = ((out[far] - _COMMON) << 16 | mid.astype(np.uint32) << 8 | low) + _COMMON
+    return out
+
+
 def _bucket_of(words: list[str], buckets: int) -> np.ndarray:
     """A hash of the words alone, alike on every machine."""
     from chronoloom.llm.textops import Bytes
@@ -86,7 +117,7 @@ def _bucket_of(words: list[str], buckets: int) -> np.ndarray:
 
 
 class _Block:
-    """Documents being gathered: ``seq`` numbers their pre-tokens by first occurrence."""
+    """Documents being gathered; ``seq`` has the numbers of their pre-tokens."""
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
@@ -104,6 +135,10 @@ class _Block:
 
     def rows(self, block: int, buckets: int) -> Iterator[tuple]:
         words = list(self.number)
+        seq = np.concatenate(self.seq) if self.seq else np.zeros(0, np.uint32)
+        # renumbered so that frequent pre-tokens have small numbers
+        rank = np.empty(len(words), np.uint32)
+        rank[np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")] = np.arange(len(words), dtype=np.uint32)
         if words:
             bucket = _bucket_of(words, buckets)
             order = np.argsort(bucket, kind="stable")
@@ -111,9 +146,9 @@ class _Block:
             for b, part in zip(used.tolist(), np.split(order, first[1:]), strict=True):
                 own = [words[i].encode() for i in part.tolist()]
                 sizes = np.fromiter(map(len, own), np.uint32, len(own))
-                yield b, block, _pack(part), _pack(sizes), zstandard.compress(b"".join(own), 1), None
-        seq = np.concatenate(self.seq) if self.seq else np.zeros(0, np.uint32)
-        yield block % buckets, block, _pack(seq), _pack(np.array(self.sizes, np.uint32)), None, pa.concat_arrays(self.ids).to_pylist()
+                yield b, block, _pack(rank[part]), _pack(sizes), zstandard.compress(b"".join(own), _LEVEL), None
+        # any task will do for the sequence: it only passes through
+        yield (block * 0x9E3779B97F4A7C15 % 2**64 >> 40) % buckets, block, _pack_seq(rank[seq]), _pack(np.array(self.sizes, np.uint32)), None, pa.concat_arrays(self.ids).to_pylist()
 
 
 _ROWS = "bucket long, block long, numbers binary, sizes binary, payload binary, ids array<{id}>"
@@ -144,6 +179,8 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
     arrow_id = to_arrow_type(id_type)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
         # Unicode white space is spelt out: what \s means differs between libraries
         split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
@@ -190,31 +227,46 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
 
         return _batches(rows(), arrow_id)
 
-    def rejoined(table: pa.Table) -> pa.Table:
-        numbers, sizes, ids, seq = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], None
-        for row in table.select(["numbers", "sizes", "payload", "ids"]).to_pylist():
-            if row["payload"] is None:
-                seq = row
-            else:
-                numbers.append(_unpack(row["numbers"]))
-                sizes.append(_unpack(row["sizes"]))
-                ids.append(_unpack(row["payload"]))
-        numbers, sizes, ids = (np.concatenate(x).astype(np.int64) for x in (numbers, sizes, ids))
+    def rejoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["block"] != held[0]["block"]:
+                    yield from joined(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from joined(held)
+
+    def joined(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        """The documents of one block, a few at a time."""
+        seq = next(r for r in rows if r["payload"] is None)
+        found = [r for r in rows if r["payload"] is not None]
+        gather = lambda c: np.concatenate([np.zeros(0, np.uint32), *(_unpack(r[c]) for r in found)])
+        numbers, sizes, ids = gather("numbers"), gather("sizes").astype(np.int64), gather("payload").astype(np.int32)
+        rows.clear()
         start, size = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
-        size[numbers] = sizes
-        start[numbers] = np.cumsum(sizes) - sizes
-        words, per_doc = _unpack(seq["numbers"]), _unpack(seq["sizes"]).astype(np.int64)
-        n = size[words]
-        ends = np.cumsum(n)
-        out = ids[np.repeat(start[words] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_doc)])]
-        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out, pa.int32()))
-        return pa.table({doc_id: pa.array(seq["ids"], arrow_id), "ids": lists})
+        start[numbers], size[numbers] = np.cumsum(sizes) - sizes, sizes
+        words, per_doc = _unpack_seq(seq["numbers"]), _unpack(seq["sizes"]).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(per_doc)])
+        names, at = pa.array(seq["ids"], arrow_id), 0
+        while at < len(per_doc):
+            to = max(at + 1, int(np.searchsorted(first, first[at] + _STEP_WORDS, "right")) - 1)
+            own = words[first[at] : first[to]]
+            n = size[own]
+            ends = np.cumsum(n)
+            out = ids[np.repeat(start[own] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+            bounds = np.concatenate([[0], ends])[first[at : to + 1] - first[at]]
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out, pa.int32()))
+            yield pa.RecordBatch.from_arrays([names.slice(at, to - at), lists], names=[doc_id, "ids"])
+            at = to
 
     rows = docs.select(doc_id, text).mapInArrow(numbered, _ROWS.format(id=sql_type))
     rows = rows.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
     rows = rows.mapInArrow(encoded, _ROWS.format(id=sql_type))
-    return rows.groupBy("block").applyInArrow(rejoined, f"{doc_id} {sql_type}, ids array<int>")
+    # a block's rows meet, one block after another, and are put out piece by piece
+    rows = rows.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block")
+    return rows.mapInArrow(rejoined, f"`{doc_id}` {sql_type}, ids array<int>")
 
 
 def decode(rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
