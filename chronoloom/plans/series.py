@@ -66,9 +66,9 @@ def fill_forward_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {GRID}, k AS (SELECT *, epoch(ts) AS x,
   last_value(CASE WHEN total IS NOT NULL THEN epoch(ts) END IGNORE NULLS) OVER b AS x0, last_value(total IGNORE NULLS) OVER b AS y0, first_value(CASE WHEN total IS NOT NULL THEN epoch(ts) END IGNORE NULLS) OVER f AS x1, first_value(total IGNORE NULLS) OVER f AS y1
   FROM grid WINDOW b AS (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT event_type, ts, round(coalesce(total, CASE WHEN x1 > x0 THEN y0 + (y1 - y0) * ((x - x0) / (x1 - x0)) END, y0, y1), 5) AS total FROM k""")
+SELECT event_type, ts, round(coalesce(total, CASE WHEN x1 > x0 THEN y0 + (y1 - y0) * ((x - x0) / (x1 - x0)) END, y0, y1), 9) AS total FROM k""")
 def linear_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.interpolated(gappy(spark, sf_dir), "total", "ts", ["event_type"]).withColumn("total", F.round("total", 5))
+    return series.interpolated(gappy(spark, sf_dir), "total", "ts", ["event_type"]).withColumn("total", F.round("total", 9))
 
 
 @query(f"""WITH {ARRAYS} SELECT item, i - 1 AS window_index, 64 AS valid_length, target[(i - 1) * 64 + 1] AS first_, target[i * 64] AS last_ FROM (SELECT item, target, unnest(range(1, least(8, greatest(1, len(target) // 64)) + 1)) AS i FROM a WHERE len(target) >= 64)""")

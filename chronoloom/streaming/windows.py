@@ -11,21 +11,26 @@ from pyspark.sql.streaming import StreamingQuery
 from chronoloom.operators.series import resampled
 
 
+def on_event_time(events: DataFrame, ts: str) -> DataFrame:
+    """``events`` with ``ts`` as a timestamp of the session's zone, the type that watermarks need."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")) if events.schema[ts].dataType.typeName() == "timestamp_ntz" else events
+
+
 def resampled_stream(events: DataFrame, ts: str, every: str, late: str, by: Sequence[str], **aggs: Column) -> DataFrame:
     """The batch operator behind a watermark: state is kept for windows younger than ``late``."""
-    return resampled(events.withWatermark(ts, late), ts, every, by, **aggs)
+    return resampled(on_event_time(events, ts).withWatermark(ts, late), ts, every, by, **aggs)
 
 
 def sessions(events: DataFrame, ts: str, gap: str, by: Sequence[str], late: str | None = None, **aggs: Column) -> DataFrame:
     """Aggregates over runs of events without a pause of ``gap``; on a stream behind a watermark."""
-    rows = events.withWatermark(ts, late) if late and events.isStreaming else events
+    rows = on_event_time(events, ts).withWatermark(ts, late) if late and events.isStreaming else events
     w = F.session_window(ts, gap)
     return rows.groupBy(*by, w.alias("_w")).agg(F.count(F.lit(1)).alias("n"), *[c.alias(n) for n, c in aggs.items()]).select(*by, F.col("_w.start").alias("started"), F.col("_w.end").alias("ended"), "n", *aggs)
 
 
 def deduplicated(events: DataFrame, key: Sequence[str], ts: str, late: str) -> DataFrame:
     """Each key once within the watermark."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(key))
+    return on_event_time(events, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark(list(key))
 
 
 def parquet_stream(spark: SparkSession, path: str, pattern: str | None = None, files_per_trigger: int = 8) -> DataFrame:
