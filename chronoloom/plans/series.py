@@ -150,7 +150,7 @@ def seasonal_naive_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT event_type AS item, (user_id % 4) AS step, value FROM events) SELECT item, step, level, round(quantile_cont(value, 0.1) * (level = 0.1)::INT + quantile_cont(value, 0.5) * (level = 0.5)::INT + quantile_cont(value, 0.9) * (level = 0.9)::INT, 6) AS value
-FROM s, (SELECT unnest([0.1, 0.5, 0.9]) AS level) GROUP BY item, step, level""")
+FROM s, (SELECT unnest([0.1, 0.5, 0.9]::DOUBLE[]) AS level) GROUP BY item, step, level""")
 def quantiles_from_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "events").select(F.col("event_type").alias("item"), (F.col("user_id") % 4).alias("step"), "value")
     return forecast.from_samples(s, ["item"], levels=(0.1, 0.5, 0.9)).withColumn("value", F.round("value", 6))
