@@ -11,7 +11,7 @@ smallest hashes of their ids; statistics and scores cover all documents.
 Defined results: a null or empty text has zeros as statistics and is scored like
 any other; a document labelled several times has its highest label; labels that
 are null or belong to no document are ignored; where fewer than two labels
-occur every score is the smoothed share of label 1; rows without a doc_id are
+occur, or no rule splits them, every score is the smoothed share of label 1; rows without a doc_id are
 scored and not held out; repeated rows are scored alike; an empty table gives an
 empty result; other columns are not read.
 """
@@ -157,6 +157,8 @@ def fit(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = NAMES) -> RuleEns
     _, first = np.unique(np.packbits(z.astype(bool), axis=0), axis=1, return_index=True)
     keep &= np.isin(np.arange(len(rules)), first)
     rules, z = tuple(r for r, k in zip(rules, keep, strict=True) if k), z[:, keep]
+    if not rules:
+        return RuleEnsemble(names, (), (), prior)
     scale = np.sqrt(z.mean(0) * (1 - z.mean(0)))
     z = z / scale
     top = np.abs(z.T @ (y - y.mean())).max() / len(y)

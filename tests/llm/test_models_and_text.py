@@ -1,0 +1,279 @@
+"""Classifiers on held-out rows, pseudonyms, quotations and the pipeline."""
+
+from __future__ import annotations
+
+import itertools
+import random
+import zlib
+from datetime import date
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from chronoloom.llm import byte_bpe, decontaminate, pseudonyms, quotes, rule_ensemble, statistics, toxicity
+from tests.llm import helpers as h
+from tests.llm.test_documents import brute_overlap
+
+
+def accuracy(rows, labels, cut):
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in labels]
+    assert held and all(0 <= r["score"] <= 1 for r in rows)
+    return sum((r["score"] >= cut) == labels[r["doc_id"]] for r in held) / len(held)
+
+
+def test_held_out_rows_are_the_contracts(spark):
+    df = spark.range(50).select(F.col("id").alias("doc_id"), rule_ensemble.held_out(F.col("id")).alias("h"))
+    assert {r["doc_id"]: r["h"] for r in df.collect()} == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(50)}
+
+
+# -- quality -------------------------------------------------------------------------------------------------
+
+
+def test_rule_ensemble_on_held_out_rows(spark, sf_dir):
+    rows = rule_ensemble.op1_rule_ensemble(spark, sf_dir).collect()
+    labels = {r["doc_id"]: r["q"] > 0 for r in spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("q")).collect()}
+    assert accuracy(rows, labels, 0.5) >= 0.9 and len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_compiled_rules_equal_the_model(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 3))
+    y = ((x[:, 0] > 0.3) & (x[:, 1] < 0.5) | (x[:, 2] > 1.5)).astype(float)
+    m = rule_ensemble.fit(x, y, ("a", "b", "c"))
+    assert ((m.predict(x) > 0.5) == (y > 0)).mean() > 0.95 and 0 < len(m.rules) < 150
+    got = spark.createDataFrame(x.tolist(), "a double, b double, c double").select(m.column()).collect()
+    assert np.allclose([r[0] for r in got], m.predict(x))
+    one = rule_ensemble.fit(x, np.ones(600), ("a", "b", "c"))
+    assert not one.rules and one.predict(x)[0] == pytest.approx(601 / 602)
+    assert rule_ensemble.fit(np.zeros((0, 3)), np.zeros(0)).predict(x)[0] == 0.5
+
+
+def test_scores_of_awkward_documents(spark):
+    docs = h.frame(spark, h.documents()).withColumn("log_words", F.lit("clash")).withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2, int(i % 2 == 0)) for i in range(40)] + [(0, 1, 1), (None, 1, 1), (1, None, None), (10**6, 1, 0)], "doc_id long, quality int, toxic int")
+    m = rule_ensemble.with_statistics(docs)
+    model = rule_ensemble.fit_on(m, labels, "quality")
+    rows = rule_ensemble.scored(m, model).collect()
+    assert len(rows) == docs.count() and all(r["score"] is not None and 0 <= r["score"] <= 1 for r in rows)
+    assert rule_ensemble.scored(rule_ensemble.with_statistics(docs.limit(0)), model).count() == 0
+    assert rule_ensemble.fit_on(m, labels.limit(0), "quality").rules == ()
+    zero = {r["doc_id"]: r for r in m.collect()}
+    null = next(i for i, t, *_ in h.documents() if t is None)
+    assert all(zero[null][c] == 0 for c in statistics.NAMES)
+    tox = toxicity.scored(docs, toxicity.fit_on(docs, labels)).collect()
+    assert len(tox) == docs.count() and all(0 <= r["score"] <= 1 for r in tox)
+    assert toxicity.scored(docs.limit(0), 0.5).count() == 0 and toxicity.fit_on(docs, labels.limit(0)) == 0.5
+
+
+# -- toxicity ---------------------------------------------------------------------------------------------------
+
+
+def brute_kernel(s: str, t: str) -> float:
+    total = 0.0
+    for i in itertools.combinations(range(len(s)), toxicity.ORDER):
+        for j in itertools.combinations(range(len(t)), toxicity.ORDER):
+            if all(s[a] == t[b] for a, b in zip(i, j)):
+                total += toxicity.DECAY ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
+    return total
+
+
+def test_kernel_is_the_definition():
+    r = random.Random(1)
+    words = ["".join(r.choice("abcd") for _ in range(r.randrange(1, 9))) for _ in range(30)]
+    pairs = [(r.choice(words), r.choice(words)) for _ in range(60)]
+    got = toxicity.kernel(toxicity._codes([a for a, _ in pairs], -1), toxicity._codes([b for _, b in pairs], -2))
+    assert np.allclose(got, [brute_kernel(a, b) for a, b in pairs], rtol=1e-4)
+
+
+def toxic_corpus(n: int, seed: int):
+    r = random.Random(seed)
+    syllables = ["the", "an", "re", "on", "ing", "st", "ly", "ou", "er", "ma", "vel"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randrange(1, 4)))
+    texts = []
+    for i in range(n):
+        w = [word() for _ in range(r.randrange(20, 80))]
+        if i % 2:
+            for _ in range(r.randrange(1, 4)):
+                w.insert(r.randrange(len(w)), r.choice(["numpty", "blighter", "zogpex" + r.choice(syllables)]))
+        texts.append(". ".join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9)))
+    return texts
+
+
+def test_machine_on_unseen_texts_and_disguised_words():
+    texts = toxic_corpus(500, 2)
+    m = toxicity.fit(texts[1::2], texts[::2])
+    scorer = toxicity.Scorer(m)
+    unseen = toxic_corpus(200, 9)
+    s = m.score(*scorer.profile(unseen))
+    assert ((s >= 0.7) == (np.arange(200) % 2 == 1)).mean() >= 0.97
+    for disguise in ("n-u-m-p-t-y", "n u m p t y", "nummpty", "NUMPTY!", "blig.hter", "zogpexunknown"):
+        assert scorer.profile([f"the man is a {disguise} here"])[0][0] > 0, disguise
+    assert scorer.profile(["the anre only starting over"])[0][0] < 0
+    worst = max(scorer.sentences("The man stood. What a numpty he is! All is well."), key=lambda x: x[1])
+    assert "numpty" in worst[0]
+    assert scorer.profile([None, ""])[1].tolist() == [0, 0]
+    assert len(toxicity.windows("x" * 35)) > 3 and toxicity.units("a b c d. it's") == ["abcd", "its"]
+
+
+def test_toxicity_on_held_out_rows(spark, sf_dir):
+    rows = toxicity.op7_toxicity(spark, sf_dir).collect()
+    labels = {r["doc_id"]: r["q"] > 0 for r in spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("q")).collect()}
+    assert accuracy(rows, labels, 0.7) >= 0.8
+
+
+# -- pseudonyms ------------------------------------------------------------------------------------------------------
+
+
+def test_feistel_permutes():
+    for size in (1, 2, 10, 1000, 73049):
+        f = pseudonyms.Feistel(b"k", "t", size)
+        some = range(size) if size <= 1000 else random.Random(0).sample(range(size), 300)
+        image = [f.permute(x) for x in some]
+        assert len(set(image)) == len(image) and all(0 <= y < size for y in image) and [f.permute(y, back=True) for y in image] == list(some)
+    assert pseudonyms.Feistel(b"k", "t", 10**9).permute(5) != pseudonyms.Feistel(b"l", "t", 10**9).permute(5)
+    odd = pseudonyms.Feistel(b"k", "t", 100)
+    assert sorted(odd.permute(x, valid=lambda v: v % 3 == 0) for x in range(0, 100, 3)) == list(range(0, 100, 3))
+
+
+VALID = {"card": ["4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005"], "phone": ["+1 (830) 555-5433", "+49 30 1234567"], "ssn": ["123-45-6789"], "ip": ["10.0.0.255"], "date": ["2024-02-29", "02/13/2001", "13/02/2001", "28.02.1999"], "email": ["Ann.b7@mail.example.com"], "secret": ["token = 0123456789abcdef0123"]}
+INVALID = ["4111 1111 1111 1112", "0000 0000 0000 0000", "666-45-6789", "300.1.1.1", "01.1.1.1", "2023-02-29", "31/31/2020", "1850-01-01", "1234567890123"]
+
+
+def test_values_keep_kind_and_format_and_come_back():
+    p = pseudonyms.Pseudonymiser(b"key")
+    for kind, values in VALID.items():
+        for v in values:
+            n = dict.fromkeys(pseudonyms.KINDS, 0)
+            text = p.replace(f"x {v}, y", n)
+            new = text[2:-3]
+            assert n[kind] == 1 and sum(n.values()) == 1 and new != v and p.replace(text, dict(n), back=True) == f"x {v}, y"
+            if kind != "ip":
+                assert [("9" if c.isdigit() or kind == "secret" and c in "abcdef" else c) for c in new if not c.isalpha() or kind != "email"] == [("9" if c.isdigit() or kind == "secret" and c in "abcdef" else c) for c in v if not c.isalpha() or kind != "email"]
+    for v in INVALID:
+        assert p.replace(v, dict.fromkeys(pseudonyms.KINDS, 0)) == v
+    a, b = (p.value("date", x) for x in ("2001-02-13", "13.02.2001"))
+    assert date.fromisoformat(a).strftime("%d.%m.%Y") == b
+    assert pseudonyms.luhn_digit("7992739871") == 3
+
+
+def test_values_stay_linked_across_documents(spark):
+    rows = [(1, "pay 4111 1111 1111 1111 now", None, None, None), (2, "card 4111 1111 1111 1111", None, None, None), (2, "card 4111 1111 1111 1111", None, None, None), (None, None, None, None, None), (3, "", None, None, None), (4, "no " * 30000, None, None, None)]
+    df = h.frame(spark, rows).withColumn("n_card", F.lit("old"))
+    out = pseudonyms.pseudonymise(df, b"k").collect()
+    got = {r["doc_id"]: r for r in out}
+    assert len(out) == 6 and got[1]["text"][4:23] == got[2]["text"][5:] != "4111 1111 1111 1111" and got[1]["n_card"] == 1
+    assert got[None]["text"] is None and got[3]["text"] == "" and got[4]["text"] == "no " * 30000
+    back = pseudonyms.pseudonymise(pseudonyms.pseudonymise(df, b"k"), b"k", back=True)
+    assert sorted(map(str, (r["text"] for r in back.collect()))) == sorted(str(r[1]) for r in rows)
+    assert pseudonyms.pseudonymise(df.limit(0), b"k").count() == 0
+
+
+# -- quotations ---------------------------------------------------------------------------------------------------------
+
+
+TALK = [
+    (1, 0, "user", "How do I boil an egg properly?\nI have no timer."),
+    (1, 1, "assistant", "Use a clock on the wall."),
+    (1, 2, "user", "> How do I boil an egg properly?\n> I have no timer.\nI meant without any clock."),
+    (1, 3, "assistant", "Ann wrote:\n> > How do I BOIL  an egg properly?\n> I meant without any clock.\nCount slowly to three hundred."),
+    (1, 4, "user", "> something nobody ever said here\nThanks, that works."),
+    (2, 0, "user", "How do I boil an egg properly?"),
+    (2, 1, "user", "> Use a clock on the wall.\nno"),
+    (None, 0, "user", "alone"),
+    (3, None, "user", "> early bird gets it\nx"),
+    (3, 7, None, None),
+    (3, 7, None, ""),
+    (3, 9, "user", "> > > deep deep deep quote\nend"),
+]
+
+
+def test_levels():
+    assert quotes.quote_level("> > hi") == (2, "hi") and quotes.quote_level(">>hi") == (2, "hi") and quotes.quote_level("a > b") == (0, "a > b")
+    assert quotes.parse("a\n> b\n> c\n>> d\ne") == ("a\ne", [(1, ["b", "c"]), (2, ["d"])])
+
+
+def test_quotations_are_linked_and_left_out(spark):
+    df = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string").withColumn("position", F.lit(1))
+    got = {(r["conv_id"], r["turn"], r["position"]): r for r in quotes.linked_messages(df).collect()}
+    assert len(got) == len(TALK)
+    m = got[1, 2, 2]
+    assert (m["text"], m["reply_to"], m["n_quotes"], m["n_linked"]) == ("I meant without any clock.", 0, 1, 1)
+    m = got[1, 3, 3]
+    assert (m["text"], m["reply_to"], m["n_quotes"], m["n_linked"]) == ("Count slowly to three hundred.", 2, 2, 2)
+    assert [(x["level"], x["turn"]) for x in m["links"]] == [(2, 0), (1, 2)]
+    m = got[1, 4, 4]
+    assert (m["text"], m["reply_to"], m["n_linked"]) == ("Thanks, that works.", 3, 0)
+    assert got[2, 1, 1]["n_linked"] == 0 and got[2, 1, 1]["reply_to"] == 0  # the line is another conversation's
+    assert got[3, None, 0]["reply_to"] is None and got[None, 0, 0]["text"] == "alone" and got[3, 9, 3]["n_quotes"] == 1
+    assert all("> " not in r["text"] for r in got.values())
+
+
+def test_conversations_come_in_bounded_parts(spark):
+    n = 150
+    rows = [(9, i, "user", f"message number {i}") for i in range(n)] + [(10, 5, "user", "x"), (10, 5, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    parts = quotes.conversations(df, 64).orderBy("conv_id", "part").collect()
+    assert [(r["conv_id"], r["part"], r["n_messages"]) for r in parts] == [(9, 0, 64), (9, 1, 64), (9, 2, 22), (10, 0, 2)]
+    talk = [m for r in parts[:3] for m in r["messages"]]
+    assert [m["turn"] for m in talk] == list(range(n)) and [m["position"] for m in talk] == list(range(n)) and [m["reply_to"] for m in talk] == [None, *range(n - 1)]
+    assert quotes.conversations(df.limit(0)).count() == 0
+
+
+# -- the pipeline ---------------------------------------------------------------------------------------------------------
+
+
+def prose(r: random.Random, n: int) -> str:
+    return " ".join(f"{r.choice(['the', 'a', 'of'])} word{r.randrange(900)}" for _ in range(n // 2))
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    r = random.Random(11)
+    item = " ".join(f"bench{i}" for i in range(25))
+    boiler = "this boilerplate line stands in many texts"
+    rows = []
+    for i in range(50):
+        lines = [prose(r, 30) for _ in range(4)]
+        if i % 4 == 0:
+            lines.insert(1, boiler)
+        if i % 9 == 5:
+            lines[2] = prose(r, 8) + " " + item + " " + prose(r, 8)
+        rows.append((i, "\n".join(lines), "en", f"src{i % 3}", 0))
+    for i in range(50, 60):
+        w = rows[i - 50][1].replace("\n", " ").split(" ")
+        w[5] = w[40] = "changed"
+        rows.append((i, " ".join(w), "en", "src1", 0))
+    rows += [(60, None, None, None, None), (61, "", None, None, None), (62, "too short", None, "src0", None), (63, "spam spam spam " * 80, None, "src1", None)]
+    h.frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {x["doc_id"]: (list(x["ids"]), x["text"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    counts = h.host_rules(rows)
+    left = [x for x in rows if not counts[x[0]][-1]]
+    left = [(i, t) for i, _, _, t in h.deduped_lines(left)]
+    same = h.groups(dict(left), 5, 80)
+    left = [(i, t) for i, t in left if same[i] == i and not brute_overlap(item, t)]
+    enc = byte_bpe._encoding(byte_bpe.public_tokenizers.path(byte_bpe.VOCABULARY), byte_bpe.public_tokenizers.PATTERN)
+    assert got == {i: (enc.encode_ordinary(t), t) for i, t in left}
+    assert 20 < len(left) < 50 and len({same[i] for i in same}) < len(same)
+
+
+def test_pipeline_on_an_empty_table_and_other_columns(spark, tmp_path):
+    df = h.frame(spark, h.documents()).withColumn("n_words", F.lit("mine")).withColumn("d", F.lit(1))
+    df.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "a b c d e f")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "byte_bpe"]
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns and docs.schema["n_words"].dataType.simpleString() == "string"
+    assert docs.count() >= 0
+
+
+def test_registered_names():
+    from chronoloom.llm import queries
+
+    assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 11))
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and decontaminate.needed(20) == 12
