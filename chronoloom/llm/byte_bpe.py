@@ -108,12 +108,15 @@ def _unpack_seq(data: bytes) -> np.ndarray:
     return out
 
 
-def _bucket_of(words: list[str], buckets: int) -> np.ndarray:
+def _bucket_of(words: list[str], buckets: int, step: int = 20_000) -> np.ndarray:
     """A hash of the words alone, alike on every machine."""
     from chronoloom.llm.textops import Bytes
 
-    b = Bytes.of(pa.array(words, pa.large_string()))
-    return (Bytes.span(b.prefix(b.raw), b.off[:-1], b.off[1:]) % np.uint64(buckets)).astype(np.int64)
+    out = []
+    for a in range(0, len(words), step):  # the hash keeps powers for as many bytes as it sees at once
+        b = Bytes.of(pa.array(words[a : a + step], pa.large_string()))
+        out.append(Bytes.span(b.prefix(b.raw), b.off[:-1], b.off[1:]) % np.uint64(buckets))
+    return np.concatenate(out).astype(np.int64)
 
 
 class _Block:

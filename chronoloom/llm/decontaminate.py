@@ -38,7 +38,7 @@ MASKS = ((0, 1, 2, 3), (0, 1, 3, 5), (0, 2, 5, 6), (0, 1, 4, 8))
 LEAST_IDENTITY = 0.75
 MOST_NEEDED = 12
 BLOCK_TOKENS = 2_000_000
-_FLAG_BITS = 22
+_FLAG_BITS = 20
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[128:] = True

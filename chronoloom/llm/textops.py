@@ -14,7 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+#: Texts are hashed so many bytes at a time: intermediate arrays take some twenty times that.
+SLICE_BYTES = 400_000
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -37,7 +38,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base ** (0 .. n) modulo 2**64, kept and grown by doubling."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
+        size = 1 << max(19, int(n + 1).bit_length())
         have = np.ones(1, np.uint64)
         while len(have) < size:
             have = np.concatenate([have, have * np.uint64(pow(base, len(have), 2**64))])
