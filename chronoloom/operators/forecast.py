@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoloom.functions.calendar import HORIZONS
 from chronoloom.functions.numeric import ratio
 
 #: Levels of the quantile loss and of the interval score's 95 % interval (fixed values).
@@ -71,6 +72,18 @@ def from_samples(samples: DataFrame, keys: Sequence[str], value: str = "value",
     return q.select(*keys, "step", F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in levels]).alias("level"), F.col("_q").alias("value"))).alias("_x")).select(*keys, "step", "_x.level", "_x.value")
 
 
+def enumerated(datasets: DataFrame, key: str, long_keys: DataFrame) -> DataFrame:
+    """A task for each dataset and horizon; beyond the short one only for datasets in ``long_keys``."""
+    terms = datasets.withColumn("term", F.explode(F.array(*[F.lit(h) for h in HORIZONS])))
+    return terms.where("term = 'short'").unionByName(terms.where("term <> 'short'").join(long_keys.select(key), key, "left_semi").select(terms.columns))
+
+
+def with_properties(rows: DataFrame, properties: DataFrame, key: str = "key") -> DataFrame:
+    """``rows`` with domain and number of variates of their dataset, the first part of the task's name."""
+    keyed = rows.withColumn(key, F.element_at(F.split("dataset", "/"), 1))
+    return keyed.join(properties.select(key, "domain", "num_variates"), key, "left").drop(key)
+
+
 def at_level(wide: dict[float, str], level: float):
     """The value at any level from columns at some: linear between neighbours, along the outermost pair beyond."""
     known = sorted(wide)

@@ -77,6 +77,27 @@ def running_offset(df: DataFrame, order: Sequence[str], count: str, name: str =
     return df.withColumn(name, (F.sum(count).over(w) - F.col(count)).cast("long"))
 
 
+def prefix_sum(df: DataFrame, order: str, value: Column, name: str, by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+    """Sum of ``value`` over the rows before in the order of a numeric column, for tables of any size.
+
+    Rows are cut into ranges of the column by approximate quantiles. A task sums along one range
+    (of one group), the ranges' totals are summed in a table of one row for each, and no task
+    sees a group or the table as a whole. Equal values of the column are not split.
+    """
+    cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("c")).first()["c"]
+    edges = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<double>")
+    rows = df.withColumn("_bucket", F.size(F.filter(edges, lambda c: c < F.col(order)))).withColumn("_value", value)
+    keys = [*by, "_bucket"]
+    totals = rows.groupBy(*keys).agg(F.sum("_value").alias("_total"))
+    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    out = rows.join(totals, same).withColumn(name, F.col("_before") + F.col("_inside"))
+    return out.drop("_bucket", "_value", "_before", "_inside", *[f"_k{i}" for i in range(len(keys))])
+
+
 def rank_when_known(by: Sequence[str], value: str) -> Column:
     """Rank within the group, smallest first, ties alike; NULL stays unranked."""
     w = W.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.functions.numeric import stable_hash, stable_uniform
+from chronoloom.operators.relational import prefix_sum
 
 # Fixed values of the reference corpus.
 LENGTH, MOST_WINDOWS = 1024, 8
@@ -29,12 +30,15 @@ def fixed_size_sample(df: DataFrame, n: int, key: Sequence[str], seed: int = 0)
 
 
 def random_halves(df: DataFrame, key: Sequence[str], seed: int = 0, name: str = "half") -> DataFrame:
-    """Each row's half (1 or 2); the halves differ by one row at most."""
-    return df.withColumn(name, F.ntile(2).over(W.orderBy(stable_hash(*[F.col(k) for k in key], F.lit(seed)), *key)).cast("long"))
+    """Each row's half (1 or 2), by the rank of its hash; the halves differ by one row at most."""
+    hashed = df.withColumn("_h", stable_hash(*[F.col(k) for k in key], F.lit(seed)))
+    n = hashed.count()
+    ranked = prefix_sum(hashed, "_h", F.lit(1), "_rank")
+    return ranked.withColumn(name, F.when(F.col("_rank") < (n + 1) // 2, F.lit(1)).otherwise(F.lit(2)).cast("long")).drop("_h", "_rank")
 
 
 def evenly_spaced(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """Up to n rows at even distances in the order, first and last included."""
+    """Up to n rows at even distances in the order, first and last included; for indexes, which one task can order."""
     numbered = df.select("*", (F.row_number().over(W.orderBy(*order)) - 1).alias("_i"), F.count(F.lit(1)).over(W.partitionBy()).alias("_n"))
     step = F.greatest(F.lit(1), F.lit(n - 1))
     # row i is the k-th pick if i = floor(k * (rows - 1) / (n - 1)) for some k
@@ -188,7 +192,7 @@ def mixture(n: int, df: DataFrame, corpus: str, key: str, weights: Mapping[str,
 
     Corpora are numbered once; draws join on (corpus, number), so none is gathered.
     """
-    numbered = df.withColumn("_i", F.row_number().over(W.partitionBy(corpus).orderBy(key)) - 1)
+    numbered = prefix_sum(df, key, F.lit(1), "_i", [corpus]).withColumn("_i", F.col("_i").cast("long"))
     sizes = df.groupBy(corpus).agg(F.count(F.lit(1)).alias("_n"))
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), choose(weights, stable_uniform(F.col("id"), F.lit(seed))).alias(corpus))
     draws = draws.join(sizes, corpus).withColumn("_i", stable_hash(F.col("draw"), F.lit(seed), F.lit("row")) % F.col("_n")).drop("_n")
@@ -214,7 +218,7 @@ def tokens(df: DataFrame, target: str = "target", n: int = TOKENS, limit: float
     return scaled.withColumn("tokens", F.transform(target, bin_))
 
 
-def packed(df: DataFrame, length: str, order: Sequence[str], room: int) -> DataFrame:
+def packed(df: DataFrame, length: str, order: str, room: int) -> DataFrame:
     """``bin`` and ``position`` of sequences laid end to end and cut into bins of ``room``: no bin is overfull by more than one sequence."""
-    before = F.sum(length).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col(length)
-    return df.withColumn("bin", F.floor(before / room)).withColumn("position", before - F.col("bin") * room)
+    laid = prefix_sum(df, order, F.col(length), "_laid")
+    return laid.withColumn("bin", F.floor(F.col("_laid") / room)).withColumn("position", F.col("_laid") - F.col("bin") * room).drop("_laid")

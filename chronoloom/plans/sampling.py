@@ -118,5 +118,5 @@ def token_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, ((sum(n_chars) OVER w - n_chars) // 5000)::BIGINT AS bin, ((sum(n_chars) OVER w - n_chars) % 5000)::BIGINT AS position FROM documents WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)")
 def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sampling.packed(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", ["doc_id"], 5000)
+    rows = sampling.packed(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 5000)
     return rows.select("doc_id", F.col("bin").cast("long"), F.col("position").cast("long"))

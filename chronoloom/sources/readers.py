@@ -72,6 +72,33 @@ def write_new(df: DataFrame, path: str, keys: Sequence[str], partition_by: Seque
     return new
 
 
+class Stage:
+    """Intermediate tables by key in one folder, such as forecasts between prediction and scoring."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def write(self, key: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{key}")
+
+    def read(self, key: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{key}")
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def keys(self) -> list[str]:
+        """Keys of the tables that were written whole."""
+        path, fs = self._fs()
+        done = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(path, "*/_SUCCESS"))
+        return sorted(s.getPath().getParent().getName() for s in done or [])
+
+    def drop(self, key: str) -> None:
+        path, fs = self._fs()
+        fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, key), True)
+
+
 def properties(spark: SparkSession, path: str) -> DataFrame:
     """(key, domain, frequency, num_variates) from a JSON object keyed by dataset."""
     text = spark.read.text(path, wholetext=True)

@@ -88,6 +88,15 @@ def test_relational_defaults(spark):
     assert rows(relational.with_columns_or(a, {"z": "--", "f": "?"}), "k") == [("p", "A", "--"), ("q", "Z", "--")]
 
 
+def test_prefix_sums_across_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), (F.col("id") % 2).cast("string").alias("g"), F.lit(2).alias("v")).repartition(6)
+    got = {r["k"]: r["s"] for r in relational.prefix_sum(df, "k", F.col("v"), "s", buckets=16).collect()}
+    assert got == {k: 2 * k for k in range(1000)}
+    per = relational.prefix_sum(df, "k", F.lit(1), "s", ["g"], buckets=16)
+    assert per.columns == ["k", "g", "v", "s"] and per.groupBy("g").agg(F.max("s"), F.count_distinct("s")).orderBy("g").collect() == [("0", 499, 500), ("1", 499, 500)]
+    assert relational.prefix_sum(df.limit(0), "k", F.lit(1), "s").count() == 0
+
+
 def test_calendar(spark):
     f = ["15T", "5min", "H", "W-SUN", "ME", "10S", "7H"]
     df = spark.createDataFrame([(x,) for x in f], "f string")

@@ -53,6 +53,22 @@ def test_csv_json_and_appending(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
 
 
+def test_stage(spark, tmp_path):
+    stage = readers.Stage(spark, str(tmp_path / "stage"))
+    assert stage.keys() == []
+    for key in ("a", "b"):
+        stage.write(key, spark.range(3))
+    assert stage.keys() == ["a", "b"] and stage.read("a").count() == 3
+    stage.drop("a")
+    assert stage.keys() == ["b"]
+
+
+def test_intended_arima_is_stationary_before_integration(spark):
+    y = generators.simulate("arima", 42, list(range(5)), 50, mode="intended")
+    assert np.isfinite(y).all() and not np.allclose(y, generators.simulate("arima", 42, list(range(5)), 50))
+    assert generators.corpus(spark, "arima", 4, length=30, mode="intended").count() == 4
+
+
 def test_properties_and_results(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"a": {"domain": "Energy", "frequency": "H", "num_variates": 1},\n "b": {"domain": "Web", "frequency": "D", "num_variates": 2}}')
     assert [tuple(r) for r in readers.properties(spark, str(tmp_path / "p.json")).orderBy("key").collect()] == [("a", "Energy", "H", 1), ("b", "Web", "D", 2)]
