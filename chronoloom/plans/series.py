@@ -175,14 +175,14 @@ def forecast_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT n_name AS key, term FROM nation, (SELECT unnest(['short', 'medium', 'long']) AS term)), p AS (SELECT n_name AS key, r_name AS domain, n_nationkey % 3 AS num_variates FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 20)
-SELECT lower(key) || '/D/' || term AS task, key || '/D/' || term AS dataset, domain, num_variates FROM t LEFT JOIN p USING (key) WHERE term = 'short' OR key IN (SELECT n_name FROM nation WHERE n_regionkey = 2)""")
+SELECT lower(key) || '/D/' || term AS task, key || '/D/' || term AS dataset, coalesce(domain, '?') AS domain, coalesce(num_variates, 0)::INT AS num_variates FROM t LEFT JOIN p USING (key) WHERE term = 'short' OR key IN (SELECT n_name FROM nation WHERE n_regionkey = 2)""")
 def task_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     long_keys = nation.where("n_regionkey = 2").select(F.col("n_name").alias("key"))
     t = forecast.enumerated(nation.select(F.col("n_name").alias("key")), "key", long_keys)
     p = nation.where("n_nationkey < 20").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("key"), F.col("r_name").alias("domain"), (F.col("n_nationkey") % 3).alias("num_variates"))
     named = t.select(calendar.task_name(F.col("key"), F.lit("D"), F.col("term")).alias("task"), F.concat_ws("/", "key", F.lit("D"), "term").alias("dataset"))
-    return forecast.with_properties(named, p)
+    return forecast.with_properties(named, p).na.fill({"domain": "?", "num_variates": 0})
 
 
 @query("SELECT item_id, start + INTERVAL 90 minute AS next_ FROM (SELECT o_orderkey AS item_id, o_orderdate AS start FROM orders)")
