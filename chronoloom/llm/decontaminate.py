@@ -6,7 +6,8 @@ seed with its original unless every window of every mask is hit. Documents'
 seeds are joined with the benchmark's, and around each hit the two texts are
 compared along the diagonal: the overlap is the stretch with the highest score
 of +1 for equal and -2 for different tokens. It counts if it has enough equal
-tokens (``needed``) and ``LEAST_IDENTITY`` of its tokens are equal.
+tokens (``needed``) and ``LEAST_IDENTITY`` of its tokens are equal; where tokens
+were put in or left out, the pieces before and after count together.
 
 Tokens are runs of letters, digits and non-ASCII characters, A-Z lower-cased,
 so punctuation and spacing do not matter.
@@ -37,6 +38,9 @@ from chronoloom.llm.textops import LOWER, Bytes, mix, slices
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 5), (0, 2, 5, 6), (0, 1, 4, 8))
 LEAST_IDENTITY = 0.75
 MOST_NEEDED = 12
+#: Pieces on neighbouring diagonals count together if each has so many equal tokens and so few
+#: tokens were put in or left out between them.
+LEAST_PIECE, MOST_SHIFT = 4, 3
 BLOCK_TOKENS = 2_000_000
 _FLAG_BITS = 20
 
@@ -105,7 +109,7 @@ class Benchmark:
             here = np.repeat(at, n)
             place = places[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             hits.append(np.stack([doc[here], self.item[place], here - place + self.first[self.item[place]]], 1))
-        best: dict[tuple[int, int], tuple] = {}
+        found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
         # the third number is where the item's first token would stand: hits on one diagonal share it
         for d, i, base in np.unique(np.concatenate(hits), axis=0).tolist():
             size = int(self.first[i + 1] - self.first[i])
@@ -116,9 +120,31 @@ class Benchmark:
             end = int(np.argmax(total - low))
             start = int(np.argmin(total[: end + 1]))
             same = int(equal[start:end].sum())
-            if same >= needed(size) and same >= LEAST_IDENTITY * (end - start) and same > best.get((d, i), (0,) * 5)[4]:
-                best[d, i] = (d, i, a + start - int(first[d]), a + end - int(first[d]), same, size)
-        return list(best.values())
+            if same >= LEAST_PIECE and same >= LEAST_IDENTITY * (end - start):
+                found.setdefault((d, i), []).append((a + start - int(first[d]), a + end - int(first[d]), same, base - int(first[d])))
+        out = []
+        for (d, i), pieces in found.items():
+            size = int(self.first[i + 1] - self.first[i])
+            one = max(pieces, key=lambda x: x[2])
+            if one[2] < needed(size):
+                one = _chained(pieces, size)
+            if one[2] >= needed(size):
+                out.append((d, i, one[0], one[1], one[2], size))
+        return out
+
+
+def _chained(pieces: list[tuple[int, int, int, int]], size: int) -> tuple[int, int, int]:
+    """Pieces that follow each other in text and item alike, with few tokens put in or left out between them."""
+    best = (0, 0, 0)
+    for a, b, same, base in sorted(pieces):
+        if best[2] and a >= best[1] and abs(base - last) <= MOST_SHIFT and b - best[0] <= 2 * size:
+            best = (best[0], b, best[2] + same)
+        elif same > best[2]:
+            best = (a, b, same)
+        else:
+            continue
+        last = base
+    return best
 
 
 def benchmark_blocks(benchmark: DataFrame, text: str = "text", item_id: str = "item_id", block_tokens: int = BLOCK_TOKENS) -> Iterator[Benchmark]:

@@ -248,6 +248,14 @@ def test_passages_are_found_with_substitutions_and_clean_texts_left(spark):
     assert {x["doc_id"] for x in clean.collect()} == set(texts) - {i for i, _ in got} and clean.columns == [*df.columns, "extra"]
 
 
+def test_passages_with_tokens_put_in_or_left_out(spark):
+    item = ITEMS[0][1].split()
+    texts = {1: " ".join(item[:7] + ["new"] + item[7:13]), 2: " ".join(item[:6] + item[8:15]), 3: " ".join(item[:5]) + " x" * 40 + " " + " ".join(item[6:11]), 4: " ".join(item[10:15] + item[:5])}
+    df = h.frame(spark, [(i, "before " + t + " after", None, None, None) for i, t in texts.items()])
+    got = {x["doc_id"]: x["n_equal"] for x in decontaminate.find_overlaps(df, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()}
+    assert got == {1: 13, 2: 13}
+
+
 def test_overlap_spans_blocks_and_empty_tables(spark, docs, monkeypatch):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     df = h.frame(spark, [(1, "x y " + ITEMS[0][1] + " z", None, None, None)] * 2)
