@@ -11,14 +11,15 @@ Kinds and what is permuted:
 
     card     13 to 19 digits with a right Luhn digit: all digits but that one
     phone    "+", a country code and a number in groups: the number's digits
+    iban     country, right check digits and account: letters and digits of the account
     ssn      ddd-dd-dddd with valid area, group and serial: the nine digits
     ip       four octets: the 32-bit address
-    date     y-m-d, m/d/y, d/m/y or d.m.y from 1900 to 2099: the day
+    date     y-m-d, y/m/d, m/d/y, d/m/y or d.m.y from 1900 to 2099: the day
     email    letters and digits of the local part, each within its class
     secret   hexadecimal value of a key, token, secret or password: its digits
 
-A date's pseudonym depends on the day alone for y-m-d and d.m.y, so the two
-stay linked. m/d/y is read where both readings are possible, d/m/y only where
+A date's pseudonym depends on the day alone for y-m-d, y/m/d and d.m.y, so these
+stay linked; months and days come out with two digits. m/d/y is read where both readings are possible, d/m/y only where
 the first number is above 12; either keeps to dates that read the same way.
 
 Defined results: a null text stays null, an empty one empty; rows are handled
@@ -40,7 +41,7 @@ from pyspark.sql import types as T
 
 from chronoloom.llm.common import read_table, small_batches
 
-KINDS = ("card", "phone", "ssn", "ip", "date", "email", "secret")
+KINDS = ("card", "phone", "iban", "ssn", "ip", "date", "email", "secret")
 ROUNDS = 10
 _FIRST, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
@@ -48,7 +49,8 @@ _PATTERN = re.compile(
     r"""(?P<email>[\w.%+-]*\w@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})
       |(?P<secret>(?:key|token|secret|password|passwd)["']?\s{0,3}[=:]\s{0,3}["']?[0-9a-fA-F]{16,}\b)
       |(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w))
-      |(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))
+      |(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))
+      |(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
       |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))
       |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
       |(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))""",
@@ -166,24 +168,45 @@ class Pseudonymiser:
         return ".".join(map(str, x.to_bytes(4)))
 
     def _date(self, text: str, back: bool) -> str | None:
-        mark = text[4] if text[4] == "-" else re.search(r"[/.]", text)[0]
+        mark = re.search(r"\D", text)[0]
         a, b, c = map(int, text.split(mark))
-        swap = mark == "/" and a <= 12
-        year, month, day = (a, b, c) if mark == "-" else (c, a, b) if swap else (c, b, a)
+        first = text[4] == mark  # the year comes first
+        swap = mark == "/" and not first and a <= 12
+        late = mark == "/" and not first and not swap
+        year, month, day = (a, b, c) if first else (c, a, b) if swap else (c, b, a)
         try:
             x = (date(year, month, day) - _FIRST).days
         except ValueError:
             return None
         if not 0 <= x < _DAYS:
             return None
-        late = mark == "/" and not swap
-        x = self._permuted("date" + "<"[: mark == "/" and swap] + ">"[:late], _DAYS, x, back, lambda x: not late or (_FIRST + timedelta(x)).day > 12)
+        x = self._permuted("date" + "<"[:swap] + ">"[:late], _DAYS, x, back, lambda x: not late or (_FIRST + timedelta(x)).day > 12)
         d = _FIRST + timedelta(x)
-        if mark == "-":
-            return d.isoformat()
+        if first:
+            return d.strftime(f"%Y{mark}%m{mark}%d")
         two = (d.month, d.day) if swap else (d.day, d.month)
         return mark.join([*(f"{v:02d}" for v in two), str(d.year)])
 
+    def _iban(self, text: str, back: bool) -> str | None:
+        plain = text.replace(" ", "")
+        number = lambda s: int("".join(str(int(c, 36)) for c in s))
+        if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
+            return None
+        account = plain[4:]
+        x, size = 0, 1
+        for c in account:
+            radix, zero = (10, "0") if c.isdigit() else (26, "A")
+            x, size = x * radix + ord(c) - ord(zero), size * radix
+        shape = "".join("0" if c.isdigit() else "A" for c in account)
+        x = self._permuted(f"iban{plain[:2]}{shape}", size, x, back)
+        new = []
+        for c in reversed(shape):
+            x, d = divmod(x, 10 if c == "0" else 26)
+            new.append(chr(ord(c) + d))
+        account = "".join(reversed(new))
+        chars = iter(plain[:2] + f"{98 - number(account + plain[:2] + '00') % 97:02d}" + account)
+        return "".join(c if c == " " else next(chars) for c in text)
+
     def _email(self, text: str, back: bool) -> str | None:
         local, domain = text.rsplit("@", 1)
         classes = {**{c: (10, "0") for c in "0123456789"}, **{chr(97 + i): (26, "a") for i in range(26)}, **{chr(65 + i): (26, "A") for i in range(26)}}
