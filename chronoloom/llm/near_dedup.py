@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import read_table, small_batches, store
+from chronoloom.llm.common import discard, read_table, small_batches, store
 from chronoloom.llm.textops import mix, shingle_sets
 
 BANDS, BAND_ROWS = 32, 5
@@ -143,25 +143,32 @@ def components(edges: DataFrame) -> DataFrame:
     local minima disappears, so rounds are few; nodes with many edges are only ever reduced by
     partial aggregation or split joins.
     """
-    forest = None
+    forest, used = None, []
+
+    def kept(df: DataFrame) -> DataFrame:
+        used.append(store(df))
+        return used[-1]
+
     while True:
-        edges = store(edges.where("a <> b").mapInArrow(_local_roots, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        edges = kept(edges.where("a <> b").mapInArrow(_local_roots, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         if edges.isEmpty():
             break
-        up = store(edges.groupBy("a").agg(F.min("b").alias("b")))
+        up = kept(edges.groupBy("a").agg(F.min("b").alias("b")))
         while True:
             far = up.alias("x").join(up.alias("y"), F.col("x.b") == F.col("y.a"), "left").select(F.col("x.a").alias("a"), F.coalesce("y.b", "x.b").alias("b"), F.col("y.b").isNotNull().alias("moved"))
-            far = store(far)
-            moved = not far.where("moved").isEmpty()
+            far = kept(far)
             up = far.select("a", "b")
-            if not moved:
+            if far.where("moved").isEmpty():
                 break
         name = lambda rows, c: rows.join(up.select(F.col("a").alias("_a"), F.col("b").alias("_b")), F.col(c) == F.col("_a"), "left").withColumn(c, F.coalesce("_b", c)).drop("_a", "_b")
         forest = up if forest is None else name(forest, "b").unionByName(up.join(forest.select(F.col("a").alias("_n")), F.col("a") == F.col("_n"), "left_anti"))
-        forest = store(forest)
+        forest = kept(forest)
         edges = name(name(edges, "a"), "b")
     if forest is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for table in used:
+        if table is not forest:
+            discard(table)
     return forest.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
@@ -300,12 +307,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     named = ready.join(classes.select("n", "f1", "f2", F.col("d").alias("c")), ["n", "f1", "f2"])
     several = named.groupBy("d").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("a", "b")
     links = store(links.unionByName(several))
-    found = store(components(links))
+    found = components(links)
 
     tagged = members.where("size > 2").join(found, F.col("d") == F.col("node"), "left").withColumn("component", F.coalesce("component", "d")).drop("node")
     more = store(linked_across(tagged, classes.select("d", "sig", "n"), texts, k, percent))
     if not more.isEmpty():
-        found = store(components(links.unionByName(more)))
+        found = components(links.unionByName(more))
+    for table in (members, pairs, texts, links, more):
+        discard(table)
 
     grouped = rows.join(classes.select("n", "f1", "f2", F.col("d").alias("c")), ["n", "f1", "f2"], "left")
     grouped = grouped.join(found, F.col("c") == F.col("node"), "left")
