@@ -16,8 +16,9 @@ Spark's committer writes these files, so they can lie in any store it reaches
 and a lost executor's attempt leaves nothing behind. Any row can be decoded
 alone. A document that spans blocks is put together from its pieces.
 
-The tokenizer cuts no token across ASCII white space, so each distinct run of
-other bytes is encoded once for a task and its ids are reused.
+A tokenizer that cuts no token across ASCII white space (which is checked) encodes
+each distinct run of other bytes once for a task, and in plain words each distinct
+pre-token; any other encodes whole texts.
 
 Defined results: a null or empty text has the end id alone; rows that share a
 doc_id follow each other, ordered by text; rows without a doc_id come first; an
@@ -26,13 +27,16 @@ empty table gives no files' rows and an empty result; other columns are not read
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -47,6 +51,13 @@ END_ID = 2
 REMEMBERED = 600_000
 
 
+#: The normaliser and pre-tokenizer whose effect on plain words is known (fixed values).
+_KNOWN_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: ASCII punctuation without the apostrophe, which may begin a token of letters.
+_POINTS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+
+
 @lru_cache(2)
 def _tokenizer(path: str):
     import os
@@ -59,40 +70,105 @@ def _tokenizer(path: str):
     return t
 
 
-class RunEncoder:
-    """Ids of texts, from the ids of their distinct runs of bytes outside ASCII white space."""
+@lru_cache(2)
+def _plain(path: str) -> bool:
+    """Whether a file's tokenizer is made of the known parts, so that it cuts no token across ASCII
+    white space, and a plain word (lower-case letters up to U+00FF, then ASCII punctuation) into
+    these two pre-tokens."""
+    spec = json.loads(_tokenizer(path).to_str())
+    normal, pre = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = pre[0]
+    return (
+        normal.get("normalizers") == _KNOWN_NORMALIZER
+        and split.get("type") == "Split" and split.get("pattern") == {"Regex": _KNOWN_SPLIT} and split.get("behavior") == "Removed" and split.get("invert") is True
+        and [p.get("type") for p in pre[1:]] == ["ByteLevel"] and pre[1].get("add_prefix_space") is False and pre[1].get("use_regex") is False
+        and spec["model"].get("type") == "BPE"
+    )
+
+
+def _byte_letters() -> dict[int, str]:
+    """For letters from U+0080 to U+00FF, the characters by which byte-level models write their two bytes."""
+    shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255]
+    rest = [c for c in range(256) if c not in shown]
+    sign = {c: chr(c) for c in shown} | {c: chr(256 + i) for i, c in enumerate(rest)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(128, 256)}
 
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self._clear()
 
-    def _clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.start, self.size, self.ids = (np.zeros(0, np.int64) for _ in range(3))
+_SIGNS = _byte_letters()
 
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+
+class RunEncoder:
+    """Ids of texts, from the ids of their distinct runs of bytes outside ASCII white space.
+
+    A tokenizer of unknown parts encodes whole texts.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer, self.plain = _tokenizer(path), _plain(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _piece(self, piece: str) -> list[int]:
+        """Ids of one pre-token, remembered."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) > REMEMBERED // 6:
+                self.pieces = {}
+            shown = piece if piece.isascii() else piece.translate(_SIGNS)
+            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return ids
+
+    def _runs(self, runs: list[str]) -> list[list[int]]:
+        """Ids of runs: plain words from their two pre-tokens, others by the whole tokenizer."""
+        out: list[list[int] | None] = []
+        piece, other = self._piece, []
+        for run in runs:
+            word = run.rstrip(_POINTS)
+            if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+                ids = piece(word.lower())
+                out.append(ids + piece(run[len(word) :]) if len(word) < len(run) else ids)
+            else:
+                other.append(len(out))
+                out.append(None)
+        for at, e in zip(other, self.tokenizer.encode_batch_fast([runs[i] for i in other], add_special_tokens=False), strict=True):
+            out[at] = e.ids
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of each text's, with ``end_id`` after each."""
+        if not self.plain:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable((*ids, end_id) for ids in found), np.int32), np.array([len(ids) + 1 for ids in found], np.int64)
         if len(self.number) > REMEMBERED:
-            self._clear()
+            self.clear()
+        split = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
+        split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
+        runs, per_text = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        # white space at either end of a text leaves an empty run there
+        filled = pc.not_equal(pc.binary_length(runs), 0).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(filled)])[np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)]
+        coded = runs.filter(pa.array(filled)).dictionary_encode()
         number, known = self.number, len(self.number)
-        seqs = []
-        for x in texts:
-            runs = x.encode().split() if x else ()
-            seqs.append(np.fromiter((number.setdefault(w, len(number)) for w in runs), np.int64, len(runs)))
+        mine = np.fromiter((number.setdefault(w, len(number)) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         if len(number) > known:
-            from itertools import islice
-
-            fresh = [w.decode() for w in islice(number, known, None)]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            found = self._runs(list(islice(number, known, None)))
             size = np.fromiter(map(len, found), np.int64, len(found))
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.int64, int(size.sum()))])
-        runs = np.concatenate(seqs) if seqs else np.zeros(0, np.int64)
-        n, ends = self.size[runs], np.cumsum(self.size[runs])
-        flat = self.ids[np.repeat(self.start[runs] - (ends - n), n) + np.arange(n.sum())]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(s) for s in seqs])]).astype(np.int64)]
-        return np.insert(flat, bounds[1:], end_id), np.diff(bounds) + 1
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))])
+        runs = mine[coded.indices.to_numpy()]
+        n = self.size[runs]
+        ends = np.cumsum(n)
+        # the end ids' places move each text's ids on by the texts before it
+        bounds = np.concatenate([[0], ends])[bounds].astype(np.int64)
+        text = np.repeat(np.arange(len(per_text)), np.diff(bounds))
+        out = np.full(int(bounds[-1]) + len(per_text), end_id, np.int32)
+        out[np.arange(len(text)) + text] = self.ids[np.repeat(self.start[runs] - (ends - n), n) + np.arange(len(text))]
+        return out, np.diff(bounds) + 1
 
 
 _BLOCKS = "shard long, block long, first_id long, first_doc long, docs array<long>, sizes array<int>, data binary"
@@ -107,7 +183,7 @@ def coded_blocks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, encoder = TaskContext.get().partitionId(), RunEncoder(path)
-        state = {"block": 0, "doc": 0, "left": [np.zeros(0, np.int64), [], []]}
+        state = {"block": 0, "doc": 0, "left": [np.zeros(0, np.int32), [], []]}
 
         def rows(last: bool) -> Iterator[pa.RecordBatch]:
             """Code the whole blocks gathered so far, or at the end all that is left."""
@@ -135,11 +211,12 @@ def coded_blocks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 256]), kinds)], names=["shard", "block", "first_id", "first_doc", "docs", "sizes", "data"])
 
         for batch in batches:
-            ids, sizes = encoder.encode(batch.column(1).to_pylist(), end_id)
+            ids, sizes = encoder.encode(batch.column(1), end_id)
             left = state["left"]
             state["left"] = [np.concatenate([left[0], ids]), left[1] + batch.column(0).to_pylist(), left[2] + sizes.tolist()]
-            if len(state["left"][0]) >= LANES * block_ids:
+            if len(state["left"][0]) >= LANES * block_ids:  # as many as are coded at a time
                 yield from rows(False)
+        encoder.clear()  # the coder needs the room
         yield from rows(True)
 
     # nulls sort first, as in the files
