@@ -24,6 +24,7 @@ columns not asked for are not read. Special tokens' strings are ordinary text.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -136,12 +137,19 @@ class _Block:
         self.sizes.append(len(words))
         self.bytes += len(text)
 
-    def rows(self, block: int, buckets: int) -> Iterator[tuple]:
+    def rows(self, place: int, buckets: int) -> Iterator[tuple]:
+        """The block's distinct pre-tokens by hash bucket, and its sequence.
+
+        Its number is its place and a checksum of its sequence: should a lost task be repeated on
+        rows in another order, its rows would not be taken for those of the first attempt.
+        """
         words = list(self.number)
         seq = np.concatenate(self.seq) if self.seq else np.zeros(0, np.uint32)
         # renumbered so that frequent pre-tokens have small numbers
         rank = np.empty(len(words), np.uint32)
         rank[np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")] = np.arange(len(words), dtype=np.uint32)
+        packed = _pack_seq(rank[seq])
+        block = place << 24 | zlib.crc32(packed) & 0xFFFFFF
         if words:
             bucket = _bucket_of(words, buckets)
             order = np.argsort(bucket, kind="stable")
@@ -151,7 +159,7 @@ class _Block:
                 sizes = np.fromiter(map(len, own), np.uint32, len(own))
                 yield b, block, _pack(rank[part]), _pack(sizes), zstandard.compress(b"".join(own), _LEVEL), None
         # any task will do for the sequence: it only passes through
-        yield (block * 0x9E3779B97F4A7C15 % 2**64 >> 40) % buckets, block, _pack_seq(rank[seq]), _pack(np.array(self.sizes, np.uint32)), None, pa.concat_arrays(self.ids).to_pylist()
+        yield (block * 0x9E3779B97F4A7C15 % 2**64 >> 40) % buckets, block, packed, _pack(np.array(self.sizes, np.uint32)), None, pa.concat_arrays(self.ids).to_pylist()
 
 
 _ROWS = "bucket long, block long, numbers binary, sizes binary, payload binary, ids array<{id}>"
@@ -188,7 +196,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
         split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
         def rows() -> Iterator[tuple]:
-            first = TaskContext.get().partitionId() << 32
+            first = TaskContext.get().partitionId() << 20
             block, made = _Block(), 0
             for batch in batches:
                 block.ids.append(batch.column(0))
@@ -243,14 +251,17 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
 
     def joined(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         """The documents of one block, a few at a time."""
-        seq = next(r for r in rows if r["payload"] is None)
+        seq = next((r for r in rows if r["payload"] is None), None)
         found = [r for r in rows if r["payload"] is not None]
         gather = lambda c: np.concatenate([np.zeros(0, np.uint32), *(_unpack(r[c]) for r in found)])
         numbers, sizes, ids = gather("numbers"), gather("sizes").astype(np.int64), gather("payload").astype(np.int32)
+        words = _unpack_seq(seq["numbers"]) if seq is not None else numbers
+        if seq is None or len(numbers) != (int(words.max()) + 1 if len(words) else 0):
+            raise RuntimeError("rows of a block are missing or of another attempt; write the documents to a table first")
         rows.clear()
         start, size = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         start[numbers], size[numbers] = np.cumsum(sizes) - sizes, sizes
-        words, per_doc = _unpack_seq(seq["numbers"]), _unpack(seq["sizes"]).astype(np.int64)
+        per_doc = _unpack(seq["sizes"]).astype(np.int64)
         first = np.concatenate([[0], np.cumsum(per_doc)])
         names, at = pa.array(seq["ids"], arrow_id), 0
         while at < len(per_doc):
