@@ -97,15 +97,21 @@ class SortedRuns:
         self.levels = []
 
 
+def text_key(text: Column) -> list[Column]:
+    """(f1, f2): which of the texts under one doc_id, or under none, a row has."""
+    whole = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(whole).alias("f1"), F.xxhash64(F.lit(1), whole).alias("f2")]
+
+
 def hashed_lines(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFrame:
-    """(d, line_no, h1, h2) of the lines that may be removed."""
-    lines = docs.select(F.coalesce(doc_id, F.lit(_LAST)).alias("d"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("line_no", "line"))
+    """(d, f1, f2, line_no, h1, h2) of the lines that may be removed."""
+    lines = docs.select(F.coalesce(doc_id, F.lit(_LAST)).alias("d"), *text_key(docs[text]), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("line_no", "line"))
     keyed = lines.withColumn("line", line_key("line")).where(F.char_length("line") >= min_chars)
-    return keyed.select("d", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return keyed.select("d", "f1", "f2", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, n_batches: int = N_BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(d, gone): for documents that lose lines, the numbers of those lines.
+    """(d, f1, f2, gone): for the texts of documents that lose lines, the numbers of those lines.
 
     Documents go through the runs in ``n_batches`` ranges of doc_id, as if they arrived so; the
     number of batches changes the work, not the result. A hash found in a run belongs to a
@@ -127,9 +133,9 @@ def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
             # read as a plain table: a line of very many documents is split between tasks only
             # where both sides of the join are shuffled
             fresh = fresh.select(F.expr("h1 ^ 0L").alias("h1"), F.expr("h2 ^ 0L").alias("h2"), "owner")
-            lost = own.join(fresh.hint("merge"), ["h1", "h2"], "left").where(~F.col("d").eqNullSafe(F.col("owner"))).select("d", "line_no")
+            lost = own.join(fresh.hint("merge"), ["h1", "h2"], "left").where(~F.col("d").eqNullSafe(F.col("owner"))).select("d", "f1", "f2", "line_no")
             # each batch's verdict is written: the runs may be merged or dropped afterwards
-            lost = store(lost.groupBy("d").agg(F.collect_set("line_no").alias("gone")))
+            lost = store(lost.groupBy("d", "f1", "f2").agg(F.collect_set("line_no").alias("gone")))
             gone = lost if gone is None else gone.unionByName(lost)
             runs.compact()
     finally:
@@ -164,8 +170,9 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_
 
     own = docs.select(*names)
     # always a merge join, so that the plan and its shuffle do not change with the size of ``gone``
-    lost = gone.select(F.col("d").alias("_d"), F.col("gone").alias("_gone")).hint("merge")
-    joined = own.join(lost, F.coalesce(own[doc_id], F.lit(_LAST)) == F.col("_d"), "left").drop("_d")
+    lost = gone.select(*(F.col(c).alias(f"_{c}") for c in ("d", "f1", "f2", "gone"))).hint("merge")
+    f1, f2 = text_key(own[text])
+    joined = own.join(lost, (F.coalesce(own[doc_id], F.lit(_LAST)) == F.col("_d")) & (f1 == F.col("_f1")) & (f2 == F.col("_f2")), "left").drop("_d", "_f1", "_f2")
     return joined.mapInArrow(cut, schema)
 
 

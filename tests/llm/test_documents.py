@@ -98,6 +98,15 @@ def test_lines_of_repeated_rows_and_other_columns(spark, docs):
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_of_rows_with_one_id_and_different_texts(spark):
+    shared = "shared boilerplate line"
+    rows = [(1, shared, None, None, 0), (None, shared + "\nbody one", None, None, 0), (None, "a unique precious line\nbody two here", None, None, 0)]
+    rows += [(7, shared + "\nfirst text of seven", None, None, 0), (7, "second text of seven\n" + shared, None, None, 0), (7, None, None, None, 0)]
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in line_dedup.drop_repeated_lines(h.frame(spark, rows)).collect()), key=repr)
+    assert got == sorted(h.deduped_lines(rows), key=repr)
+    assert (None, 2, 0, "a unique precious line\nbody two here") in got
+
+
 def test_runs_are_compacted(spark):
     runs = line_dedup.SortedRuns(spark, 2, fanout=2)
     for k in range(5):
