@@ -16,6 +16,8 @@ Only documents carry labels, so the sentences that make a document toxic are
 found first: words, then character n-grams, that occur in significantly more
 toxic than clean documents. The units that hold these witnesses are the toxic
 examples, also with characters inserted; units of clean documents are the others.
+All witnesses are used. Landmarks are chosen among them until each example is
+like one, so their number grows with the kinds of witnesses found.
 
 Training reads at most ``FIT_TOXIC`` toxic and ``FIT_CLEAN`` clean documents,
 those with the smallest hashes of their ids. All documents are scored whole.
@@ -48,7 +50,12 @@ ORDER, DECAY = 3, 0.85
 #: The machine's kernel is exp(SHARPNESS * (normalised subsequence kernel - 1)), a kernel as well.
 SHARPNESS = 4.0
 WIDTH, STRIDE = 10, 3
-LANDMARKS = 64
+#: A string as like as this to a landmark needs no landmark of its own.
+COVERED = 0.5
+#: The likeness to a landmark that shares nothing.
+UNLIKE = float(np.exp(-SHARPNESS))
+#: Likenesses computed at a time.
+PART = 1_280_000
 #: Words whose margins a task remembers; beyond it the memory starts anew.
 REMEMBERED = 500_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -171,8 +178,9 @@ class Scorer:
             self.known = {}
         split = [units(x) if x else [] for x in texts]
         fresh = list({w for ws in split for w in ws if w not in self.known})
-        for a in range(0, len(fresh), 20_000):
-            part = fresh[a : a + 20_000]
+        step = max(1, PART // len(self.machine.landmarks))
+        for a in range(0, len(fresh), step):
+            part = fresh[a : a + step]
             self.known.update(zip(part, self.machine.margins(part).tolist(), strict=True))
         most, count = np.full(len(texts), self.machine.bias), np.zeros(len(texts))
         for i, ws in enumerate(split):
@@ -202,8 +210,9 @@ def witnesses(toxic: list[set[str]], clean: list[set[str]]) -> tuple[list[str],
     share = len(toxic) / (len(toxic) + len(clean))
     in_toxic, in_clean = (Counter(w for ws in side for w in ws) for side in (toxic, clean))
     words = [w for w, n in in_toxic.items() if len(w) > 2 and _significant(n, in_clean[w], share, len(in_toxic))]
-    words = sorted(words, key=lambda w: (-in_toxic[w], w))[:LANDMARKS]
-    open_ = [ws for ws in toxic if not ws & set(words)]
+    words = sorted(words, key=lambda w: (-in_toxic[w], w))
+    marks = set(words)
+    open_ = [ws for ws in toxic if not ws & marks]
     grams: list[str] = []
     if open_:
         share = len(open_) / (len(open_) + len(clean))
@@ -223,7 +232,7 @@ def witnesses(toxic: list[set[str]], clean: list[set[str]]) -> tuple[list[str],
                     against[g] += n
         holds = {g: s for g, s in holds.items() if _significant(len(s), against[g], share, tests)}
         left = set(range(len(open_)))
-        while holds and len(grams) < LANDMARKS:
+        while holds:
             g = max(holds, key=lambda g: (len(holds[g] & left), len(g), g))
             if len(holds[g] & left) < 5:
                 break
@@ -232,25 +241,78 @@ def witnesses(toxic: list[set[str]], clean: list[set[str]]) -> tuple[list[str],
     return words, grams
 
 
+def covering(strings: list[str]) -> list[str]:
+    """Those of the strings, in order, that none before them is like: every string is like one of them."""
+    codes = _codes(strings, -1)
+    ends = np.where(codes < 0, -2, codes)
+    own = np.sqrt(kernel(codes, ends))
+    open_, out = np.ones(len(strings), bool), []
+    for i, x in enumerate(strings):
+        if open_[i]:
+            out.append(x)
+            at = i + np.flatnonzero(open_[i:])
+            like = kernel(codes[at], np.broadcast_to(ends[i], (len(at), WIDTH))) / np.maximum(own[at] * own[i], 1e-9)
+            open_[at[np.exp(SHARPNESS * (like - 1)) >= COVERED]] = False
+    return out
+
+
 def _disguised(word: str, rng: np.random.Generator) -> list[str]:
     """The word with a character inserted somewhere, and with one doubled."""
     at, c = (rng.integers(1, max(2, len(word)), 2)), "xz10"[int(rng.integers(4))]
     return [(word[: at[0]] + c + word[at[0] :])[:WIDTH], (word[: at[1]] + word[at[1] - 1] + word[at[1] :])[:WIDTH]]
 
 
-def _machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss by Newton steps, classes of equal weight."""
-    x1 = np.hstack([x, np.ones((len(x), 1))]).astype(float)
-    s = np.where(y > 0, 1.0, -1.0)
-    c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * 2000
-    ridge = np.eye(x1.shape[1])
+def _likenesses(machine: Machine, strings: list[str], distinct: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, landmark, likeness above ``UNLIKE``): row i's are at first[i] to first[i + 1].
+
+    Few strings are like a landmark at all, so only those likenesses are held. With ``distinct``
+    strings of equal likenesses are one row.
+    """
+    counts, cols, values, seen = [], [], [], set()
+    step = max(1, PART // len(machine.landmarks))
+    odd = np.random.default_rng(1).integers(1, 2**63, len(machine.landmarks), dtype=np.uint64)
+    for a in range(0, len(strings), step):
+        part = (machine.likeness(strings[a : a + step]) - UNLIKE).round(4)
+        if distinct:
+            mixed = ((part * 1e4).round().astype(np.uint64) * odd).sum(1).tolist()
+            part = part[[i for i, h in enumerate(mixed) if h not in seen and not seen.add(h)]]
+        row, col = np.nonzero(part)
+        counts.append(np.bincount(row, minlength=len(part)))
+        cols.append(col.astype(np.int32))
+        values.append(part[row, col])
+    return np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(cols), np.concatenate(values)
+
+
+def _machine(sides: list[tuple], root: np.ndarray) -> tuple[np.ndarray, float]:
+    """A linear machine on the rows of ``sides`` (toxic, clean; as ``_likenesses`` gives them) times
+    ``root``, with squared hinge loss by Newton steps, classes of equal weight."""
+    n = len(root)
+    full = np.zeros((n + 1, n + 1))
+    full[:-1, :-1], full[-1, -1] = root, 1.0
+    ridge = np.eye(n + 1)
     ridge[-1, -1] = 1e-6
-    w = np.zeros(x1.shape[1])
+    w, gram, moment = np.zeros(n + 1), np.zeros((n + 1, n + 1)), np.zeros(n + 1)
+    # the rows that the sums hold; a step adds or takes away those that changed sides
+    held = [np.zeros(len(first) - 1, bool) for first, _, _ in sides]
     for _ in range(25):
-        slack = 1 - s * (x1 @ w)
-        on = slack > 0
-        a = x1[on] * c[on, None]
-        new = np.linalg.solve(ridge + a.T @ x1[on], a.T @ s[on])
+        v = full @ w
+        for sign, (first, cols, values), has in zip((1.0, -1.0), sides, held, strict=True):
+            size = np.diff(first)
+            row = np.repeat(np.arange(len(size)), size)
+            margin = UNLIKE * v[:-1].sum() + v[-1] + np.bincount(row, values * v[cols], len(size))
+            change = (1 - sign * margin > 0) ^ has
+            on, weight = np.flatnonzero(change), 0.5 / max(1, len(size)) * 2000
+            for a in range(0, len(on), 4096):
+                rows = on[a : a + 4096]
+                step = np.where(has[rows], -weight, weight)
+                block = np.full((len(rows), n + 1), UNLIKE)
+                block[:, -1] = 1.0
+                at = np.repeat(first[rows] - np.concatenate([[0], np.cumsum(size[rows])[:-1]]), size[rows]) + np.arange(size[rows].sum())
+                block[np.repeat(np.arange(len(rows)), size[rows]), cols[at]] += values[at]
+                gram += (block * step[:, None]).T @ block
+                moment += sign * (step @ block)
+            has ^= change
+        new = np.linalg.solve(ridge + full.T @ gram @ full, full.T @ moment)
         if np.abs(new - w).max() < 1e-6:
             break
         w = 0.5 * w + 0.5 * new
@@ -275,9 +337,9 @@ def fit(toxic_texts: list[str], clean_texts: list[str], seed: int = 5) -> Machin
             at = w.find(g)
             if at >= 0:
                 held[w[max(0, min(at, len(w) - WIDTH)) :][:WIDTH]] += n
-    positive = list(dict.fromkeys([x for w in words for x in windows(w)] + sorted(held, key=lambda w: (-held[w], w))[:2000]))
-    landmarks = list(dict.fromkeys([x for w in words for x in windows(w)] + grams + positive))[:LANDMARKS]
-    positive += [x for w in positive[:400] for x in _disguised(w, rng)]
+    positive = list(dict.fromkeys([x for w in words for x in windows(w)] + sorted(held, key=lambda w: (-held[w], w))))
+    landmarks = covering(list(dict.fromkeys([x for w in words for x in windows(w)] + grams + positive)))
+    positive += [x for w in positive for x in _disguised(w, rng)]
     negative = sorted({x for w in in_clean for x in windows(w)} - set(positive))
 
     machine = Machine(landmarks, np.zeros(len(landmarks)), 0.0, np.zeros(3))
@@ -285,11 +347,7 @@ def fit(toxic_texts: list[str], clean_texts: list[str], seed: int = 5) -> Machin
     # the square root of the landmarks' own kernel matrix; screened entries are 0 either way round
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    x_pos = machine.likeness(positive)
-    x_neg = np.concatenate([machine.likeness(negative[a : a + 20_000]) for a in range(0, len(negative), 20_000)])
-    # negatives unlike all landmarks are one example
-    x_neg = np.unique(x_neg.round(4), axis=0)
-    w, bias = _machine(np.concatenate([x_pos, x_neg]) @ root, np.concatenate([np.ones(len(x_pos)), np.zeros(len(x_neg))]))
+    w, bias = _machine([_likenesses(machine, positive, False), _likenesses(machine, negative, True)], root)
     machine.weights, machine.bias = (root @ w).astype(np.float32), bias
 
     scorer = Scorer(machine)

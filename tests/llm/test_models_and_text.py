@@ -117,6 +117,20 @@ def test_machine_on_unseen_texts_and_disguised_words():
     assert len(toxicity.windows("x" * 35)) > 3 and toxicity.units("a b c d. it's") == ["abcd", "its"]
 
 
+def test_every_witness_counts_however_many_there_are():
+    r = random.Random(11)
+    name = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    insults, stems, plain = [name(8) for _ in range(100)], [name(6) for _ in range(8)], [name(r.randrange(2, 9)) for _ in range(300)]
+    prose = lambda: " ".join(r.choice(plain) for _ in range(12))
+    toxic = [f"{prose()} {w} {prose()}" for w in insults for _ in range(12)] + [f"{prose()} {w}{name(3)}" for w in stems for _ in range(12)]
+    m = toxicity.fit(toxic, [f"{prose()} {prose()}" for _ in range(2600)])
+    unseen = [w + name(2) for w in stems]
+    # every witness has a landmark like it; the machine's margin is soft, so a few may stay below 0
+    assert (m.likeness(insults + stems).max(1) >= 0.5).all()
+    assert (m.margins(insults) > 0).mean() >= 0.95 and (m.margins(unseen) > 0).mean() >= 0.95
+    assert (m.margins(plain) <= 0).mean() > 0.98
+
+
 def test_toxicity_on_held_out_rows(spark, sf_dir):
     rows = toxicity.op7_toxicity(spark, sf_dir).collect()
     labels = {r["doc_id"]: r["q"] > 0 for r in spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("q")).collect()}
