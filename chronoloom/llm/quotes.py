@@ -40,6 +40,8 @@ from chronoloom.llm.textops import Bytes
 PART = 64
 #: Normalised lines shorter than this are too common to tell where they come from.
 LEAST_CHARS = 8
+#: Lines in more messages of a conversation than this are weighed for groups of messages.
+RARE = 8
 _MARKS = re.compile(r"^\s{0,3}((?:>\s?)+)")
 _ANNOUNCES = re.compile(r"(?:wrote|writes|schrieb|a écrit|escribió)\s?:\s*$", re.IGNORECASE)
 
@@ -122,11 +124,24 @@ def linked_messages(messages: DataFrame) -> DataFrame:
     placed = rows.alias("m").join(shares.alias("s"), same("m", "s", "conv_id") & (F.col("m.pid") == F.col("s.pid")), "left")
     placed = placed.select("m.*", (F.col("offset") + F.col("at")).alias("position"), F.coalesce("last_turn", F.when(F.col("at") == 0, F.col("before"))).alias("previous"))
 
-    # one row for each distinct line of a conversation, however often it recurs
-    first = rows.where("turn IS NOT NULL").select("conv_id", "turn", F.explode("own_hashes").alias("h")).groupBy("conv_id", "h").agg(F.min("turn").alias("source"))
-    quoted = rows.where("turn IS NOT NULL AND size(quoted) > 0").select("conv_id", "turn", "role", "pid", "at", F.explode(F.arrays_zip("passages", "levels", "sizes", "quoted")).alias("q"))
-    hits = quoted.alias("q").join(first.alias("f"), F.col("q.conv_id").eqNullSafe(F.col("f.conv_id")) & (F.col("q.q.quoted") == F.col("f.h")) & (F.col("f.source") < F.col("q.turn")))
-    weighed = hits.groupBy("q.conv_id", "q.pid", "q.at", F.col("q.q.passages").alias("passage"), F.col("q.q.levels").alias("level"), "f.source").agg(F.sum("q.q.sizes").alias("weight"))
+    # a passage's source is among the messages that hold one of its rare lines, each weighed by all the
+    # passage's lines, or it shares common lines only: of messages with the same ones the first counts
+    quoted = rows.where("turn IS NOT NULL AND size(quoted) > 0").select("conv_id", "turn", "pid", "at", F.explode(F.arrays_zip("passages", "levels", "sizes", "quoted")).alias("q"))
+    quoted = quoted.select("conv_id", "turn", "pid", "at", F.col("q.passages").alias("passage"), F.col("q.levels").alias("level"), F.col("q.sizes").alias("size"), F.col("q.quoted").alias("h"))
+    own = rows.where("turn IS NOT NULL").select("conv_id", "turn", F.explode("own_hashes").alias("h")).distinct()
+    asked = quoted.select("conv_id", "h").distinct()
+    known = own.groupBy("conv_id", "h").agg((F.count(F.lit(1)) > RARE).alias("common")).alias("k").join(asked.alias("a"), same("k", "a", "conv_id") & (F.col("k.h") == F.col("a.h"))).select("k.*")
+    lines = store(own.alias("o").join(store(known).alias("k"), same("o", "k", "conv_id") & (F.col("o.h") == F.col("k.h"))).select("o.conv_id", F.col("turn").alias("source"), "o.h", "common"))
+    alike = lines.where("common").groupBy("conv_id", "source").agg(F.sort_array(F.collect_set("h")).alias("hs")).groupBy("conv_id", "hs").agg(F.min("source").alias("source"))
+    first = alike.select("conv_id", "source", F.explode("hs").alias("h"))
+
+    hit = lambda held: quoted.alias("q").join(held.alias("f"), same("q", "f", "conv_id") & (F.col("q.h") == F.col("f.h")) & (F.col("f.source") < F.col("q.turn")))
+    passage = ("conv_id", "pid", "at", "passage")
+    rare = hit(lines.where("NOT common")).select(*(f"q.{c}" for c in passage), "f.source").distinct()
+    pairs = rare.alias("r").join(quoted.alias("q"), same("r", "q", "conv_id") & (F.col("r.pid") == F.col("q.pid")) & (F.col("r.at") == F.col("q.at")) & (F.col("r.passage") == F.col("q.passage"))).select("q.*", "r.source")
+    whole = pairs.alias("q").join(lines.alias("f"), same("q", "f", "conv_id") & (F.col("q.h") == F.col("f.h")) & (F.col("q.source") == F.col("f.source")))
+    by_source = lambda x: x.select(*(f"q.{c}" for c in (*passage, "level", "size")), "f.source").groupBy(*passage, "level", "source").agg(F.sum("size").alias("weight"))
+    weighed = by_source(whole).unionByName(by_source(hit(first)))
     passages = weighed.groupBy("conv_id", "pid", "at", "passage", "level").agg(F.max(F.struct("weight", (-F.col("source")).alias("s"))).alias("best"))
     linked = passages.groupBy("conv_id", "pid", "at").agg(F.count(F.lit(1)).alias("n_linked"), F.max(F.when(F.col("level") == 1, F.struct("best.weight", "best.s"))).alias("to"), F.array_sort(F.collect_list(F.struct("passage", "level", (-F.col("best.s")).alias("turn")))).alias("links"))
 

@@ -226,6 +226,17 @@ def test_quotations_are_linked_and_left_out(spark):
     assert all("> " not in r["text"] for r in got.values())
 
 
+@pytest.mark.parametrize("rare", [0, 1, 8])
+def test_passages_with_recurring_lines_go_to_the_message_that_holds_them(spark, monkeypatch, rare):
+    monkeypatch.setattr(quotes, "RARE", rare, raising=False)
+    sign, ask = "Best wishes from the whole team in Vienna", "Could you look at it again?"
+    said = [sign, "nothing to see", ask, sign + "\n" + ask, "nothing here", "Meet at nine.\n" + sign + "\nand a postscript", sign + "\n" + ask + "\nbye for now"]
+    said += [f"> Meet at nine.\n> {sign}\nfine", f"> {sign}\nyes", f"> {ask}\n> {sign}\nno"]
+    df = spark.createDataFrame([(c, t, "user", x) for c in (1, None) for t, x in enumerate(said)], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in quotes.linked_messages(df).collect()}
+    assert [got[c, t] for c in (1, None) for t in (7, 8, 9)] == [5, 0, 3] * 2
+
+
 def test_conversations_come_in_bounded_parts(spark):
     n = 150
     rows = [(9, i, "user", f"message number {i}") for i in range(n)] + [(10, 5, "user", "x"), (10, 5, "user", "x")]
