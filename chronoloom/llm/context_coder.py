@@ -4,339 +4,47 @@ A sequence is cut into blocks that are coded apart, each from a fresh model and
 with its own checksums, so any block can be read alone and a damaged one is
 noticed and costs nothing but itself.
 
-The model mixes three predictions of the next id:
+The model mixes three distributions of the next id:
 
-* order 2: the id that last followed the two ids before (a hashed table);
-* order 1: the id that last followed the id before;
-* order 0: the distribution of the block's ids so far, refreshed at fixed
-  positions, and beyond it all ids alike.
+* order 2: the id that last followed the two ids before (a hashed table), all on it;
+* order 1: the two ids that mostly followed the id before, by how sure each is;
+* order 0: all ids by how often they came in the block so far, counted after
+  every id, each once to begin with.
 
-Predictions of orders 1 and 2 follow every id and carry a confidence. How often
-predictions of each pair of confidences came true in the block so far gives the
-mixing weights, which are refreshed at the same positions as order 0. The range
-coder codes which prediction holds and, where it is order 0, the id.
+The mixture's weights depend on how sure the contexts are and on whether they
+agree; after each id every order's part in the probability that the id was
+given moves its weight. The range coder codes an id by its share of the
+mixture: first the candidates of orders 2 and 1 with all that the three orders
+give them, then the other ids by their order-0 counts.
 
-Blocks are independent, so numpy codes many of them in lockstep: every array
-below has an entry for each block (a lane), and step t codes the t-th id of all.
+An id depends on all before it, so a block is coded id by id, by two functions of
+byte strings in the JVM (``ContextCoder.java``, see jvm.py).
+
+A block's form: magic, number of possible ids, number of ids, their crc32,
+bytes of code, their crc32 (little-endian integers of four bytes), the code.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
-
-import numpy as np
-
-BLOCK_IDS = 8192
-#: Blocks coded at a time: some 270 kB of model, code and ids for each.
-LANES = 1024
-EVENT_BITS = 12
-ORDER0_BITS = 13
-TABLE_BITS = 12
-REFRESH = (32, 128, 512, 2048, 4096)
-MAGIC = b"CMR2"
-#: magic, bits of an id, number of ids, their crc32, number of 32-bit code words, their crc32
-HEADER = struct.Struct("<4sBxxxIIII")
-
-_EVENTS, _SLOTS, _TABLE = 1 << EVENT_BITS, 1 << ORDER0_BITS, 1 << TABLE_BITS
-_U32 = np.uint64(32)
-_LOW = np.uint64(0xFFFFFFFF)
-_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-class CorruptBlock(ValueError):
-    """A block whose header or checksums are wrong."""
-
-
-#: Confidences of one prediction, and pairs of them with whether the two predictions are the same.
-_SURE, _PAIRS = 4, 32
-#: What the weights of hits of order 2, order 1 and order 0 and of new ids begin with.
-_PRIOR = np.array([0.5, 0.5, 2.0, 4.0])
-
-
-class _Model:
-    """Orders 1 and 2 and the mixing weights, for all lanes.
-
-    A step works on the first n lanes, through views that ``narrow`` makes. Index arrays are
-    64-bit and constants are arrays, since numpy converts anything else again at every step.
-    """
-
-    def __init__(self, lanes: int, steps: int):
-        self.t1, self.t2 = np.zeros(lanes << TABLE_BITS, np.int32), np.zeros(lanes << TABLE_BITS, np.int32)
-        lane = np.arange(lanes)
-        self.all = {"base": lane << TABLE_BITS, "pairs": lane * _PAIRS, "h1": np.zeros(lanes, np.int64), "h2": np.zeros(lanes, np.int64), "last": np.zeros(lanes, np.int64)}
-        self.all |= {f"i{c}": np.full(lanes, c, np.int32) for c in (1, 2, 3)}
-        self.all |= {f"l{c}": np.full(lanes, c, np.int64) for c in (16, 32, 0xFFFF, 0xFFFFFFFF, 0x9E3779B1, 0xC2B2AE35, 0x85EBCA6B, 32 - TABLE_BITS, _EVENTS)}
-        self.all["four"] = np.full(lanes, 4, np.uint8)
-        self.counts = np.tile(_PRIOR, (lanes * _PAIRS, 1))
-        self.seen_pairs, self.seen_events = np.zeros((steps, lanes), np.uint8), np.zeros((steps, lanes), np.uint8)
-        self.since = 0
-        self._weigh()
-        self.narrow(lanes)
-
-    def narrow(self, n: int) -> None:
-        self.v = {k: x[:n] for k, x in self.all.items()}
-        self.n = n
-
-    def _weigh(self) -> None:
-        """Bounds of the events, packed into one integer for each lane and pair of confidences."""
-        share = np.cumsum(self.counts[:, :3], axis=1) / self.counts.sum(1, keepdims=True)
-        b = (share * (_EVENTS - 4)).astype(np.int64) + np.arange(1, 4)
-        self.bounds = b[:, 0] | b[:, 1] << 16 | b[:, 2] << 32
-
-    def refresh(self, t: int) -> None:
-        """Counts what happened since the last refresh; lanes that have ended count what they like."""
-        at = self.all["pairs"][None] + self.seen_pairs[self.since : t]
-        self.counts += np.bincount((at * 4 + self.seen_events[self.since : t]).ravel(), minlength=self.counts.size).reshape(-1, 4)
-        self.since = t
-        self._weigh()
-
-    def predict(self, t: int) -> None:
-        """Candidates and event bounds."""
-        v = self.v
-        self.k1, self.k2 = v["base"] + v["h1"], v["base"] + v["h2"]
-        self.e1, self.e2 = self.t1.take(self.k1), self.t2.take(self.k2)
-        self.c1, self.c2 = self.e1 >> v["i2"], self.e2 >> v["i2"]
-        self.sure1, self.sure2 = self.e1 & v["i3"], self.e2 & v["i3"]
-        pair = ((self.sure2 << v["i2"]) + self.sure1).astype(np.uint8)
-        pair += (self.c1 == self.c2).view(np.uint8) << v["four"]
-        self.seen_pairs[t, : self.n] = pair
-        packed = self.bounds.take(v["pairs"] + pair)
-        self.b1, self.b2, self.b3 = packed & v["l65535"], (packed >> v["l16"]) & v["l65535"], packed >> v["l32"]
-
-    def update(self, ids: np.ndarray) -> None:
-        v = self.v
-        small = ids.astype(np.int32)
-        fresh = small << v["i2"]
-        for table, at, entry, candidate, sure in ((self.t2, self.k2, self.e2, self.c2, self.sure2), (self.t1, self.k1, self.e1, self.c1, self.sure1)):
-            # right: surer; wrong: half as sure, replaced once unsure
-            table[at] = np.where(candidate == small, entry + (sure < v["i3"]), np.where(sure > v["i1"], entry - v["i2"], fresh))
-        low, down = v["l4294967295"], v[f"l{32 - TABLE_BITS}"]
-        mixed = (ids * v["l2654435761"]) & low
-        np.right_shift(((mixed ^ v["last"]) * v["l3266489909"]) & low, down, out=v["h2"])
-        np.right_shift(mixed, down, out=v["h1"])
-        np.bitwise_and(mixed * v["l2246822507"], low, out=v["last"])
-
-
-def _order0(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """lane, id, start and frequency of the ids in each row of ``seen``; a row's frequencies add up to _SLOTS."""
-    lanes, n = seen.shape
-    ranked = np.sort(seen, axis=1)
-    new = np.ones((lanes, n), bool)
-    new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
-    at = np.flatnonzero(new.ravel())
-    lane, ids = at // n, ranked.ravel()[at].astype(np.int64)
-    counts = np.diff(np.append(at, lanes * n))
-    kinds = np.bincount(lane, minlength=lanes)
-    freq = 1 + counts * (_SLOTS - kinds[lane]) // n
-    first = np.concatenate([[0], np.cumsum(kinds)[:-1]])
-    total = np.add.reduceat(freq, first)
-    freq[first] += _SLOTS - total
-    start = np.cumsum(freq) - freq
-    return lane, ids, start - lane * _SLOTS, freq
-
-
-def _looked_up(lane: np.ndarray, ids: np.ndarray, start: np.ndarray, freq: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and frequency of the wanted ids (steps by lanes) in their lanes; 0 where a lane has not seen one.
-
-    Some lanes at a time write theirs into a table with a row for each lane, which is then read.
-    """
-    steps, lanes = wanted.shape
-    width = int(max(ids.max(initial=0), wanted.max(initial=0))) + 1
-    group = max(1, min(lanes, (1 << 21) // width))
-    table = np.zeros(group * width, np.int32)
-    first = np.searchsorted(lane, np.arange(0, lanes + group, group))
-    out = np.empty((steps, lanes), np.int32)
-    for k, a in enumerate(range(0, lanes, group)):
-        mine = slice(first[k], first[k + 1])
-        at = (lane[mine] - a) * width + ids[mine]
-        # frequencies are at least 1 and at most _SLOTS, so a pair packs into 31 bits
-        table[at] = start[mine] << (ORDER0_BITS + 1) | freq[mine]
-        out[:, a : a + group] = table[np.arange(min(group, lanes - a)) * width + wanted[:, a : a + group]]
-        table[at] = 0
-    return out >> (ORDER0_BITS + 1), out & (2 * _SLOTS - 1)
-
-
-def _wave_order(sizes: np.ndarray) -> list[np.ndarray]:
-    """Blocks in even waves of at most LANES, long ones first, so that the lanes at work are always a prefix."""
-    order = np.argsort(-sizes, kind="stable")
-    waves = -(-len(order) // LANES)
-    return np.array_split(order, waves) if waves else []
-
-
-def encode_blocks(blocks: list[np.ndarray], id_bits: int) -> list[bytes]:
-    """Each block's ids (below 2**id_bits) as its coded form."""
-    assert 1 <= id_bits <= 20
-    out: list[bytes] = [b""] * len(blocks)
-    for wave in _wave_order(np.array([len(b) for b in blocks], np.int64)):
-        own = [blocks[i] for i in wave]
-        for i, block, words in zip(wave.tolist(), own, _encode_wave(own, id_bits), strict=True):
-            data = words.astype("<u4").tobytes()
-            out[i] = HEADER.pack(MAGIC, id_bits, len(block), zlib.crc32(block.astype("<u4").tobytes()), len(words), zlib.crc32(data)) + data
-    return out
-
-
-def _encode_wave(blocks: list[np.ndarray], id_bits: int) -> list[np.ndarray]:
-    sizes = np.array([len(b) for b in blocks], np.int64)
-    lanes, steps = len(blocks), int(sizes[0]) if len(sizes) else 0
-    ids = np.zeros((steps, lanes), np.int32)
-    for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
-    model = _Model(lanes, steps)
-    all_low, all_span, event_bits = np.zeros(lanes, np.uint64), np.full(lanes, _FULL), np.full(lanes, EVENT_BITS, np.uint64)
-    low, span, down = all_low, all_span, event_bits
-    # code words of 32 bits, in 64 so that carries can be added; most ids take a third of one
-    room = steps // 2 + 64
-    out, at = np.zeros((lanes, room), np.uint64), np.zeros(lanes, np.int64)
-    flat, row = out.ravel(), np.arange(lanes) * room
-    start0 = freq0 = None
-    n, since = lanes, 0
-
-    def carried(c: np.ndarray) -> None:
-        if len(c):
-            flat[row[c] + at[c] - 1] += np.uint64(1)
-
-    for t in range(steps):
-        if sizes[n - 1] <= t:
-            while sizes[n - 1] <= t:
-                n -= 1
-            model.narrow(n)
-            low, span, down = all_low[:n], all_span[:n], event_bits[:n]
-        if t % 32 == 0 and at.max() > room - 40:
-            room += room // 2
-            out = np.pad(out, ((0, 0), (0, room - out.shape[1])))
-            flat, row = out.ravel(), np.arange(lanes) * room
-        if t in REFRESH:
-            model.refresh(t)
-            since, until = t, min([r for r in (*REFRESH, steps) if r > t] or [steps])
-            lane, seen, start, freq = _order0(np.ascontiguousarray(ids[:t, :n].T.astype(np.uint16 if id_bits <= 16 else np.uint32)))
-            start0, freq0 = _looked_up(lane, seen, start, freq, ids[t:until, :n])
-        x = ids[t, :n].astype(np.int64)
-        model.predict(t)
-        b1, b2, b3 = model.b1, model.b2, model.b3
-        g1 = model.c2 != x
-        g2 = g1 & (model.c1 != x)
-        g3 = g2 if start0 is None else g2 & (freq0[t - since, :n] == 0)
-        model.seen_events[t, :n] = g1.view(np.uint8) + g2.view(np.uint8) + g3.view(np.uint8)
-        begin = np.where(g3, b3, np.where(g2, b2, b1 * g1))
-        width = np.where(g3, model.v[f"l{_EVENTS}"], np.where(g2, b3, np.where(g1, b2, b1))) - begin
-        unit = span >> down
-        add = unit * begin.view(np.uint64)
-        low += add
-        carried((low < add).nonzero()[0])
-        np.multiply(unit, width.view(np.uint64), out=span)
-        spelt = g2.nonzero()[0]
-        if len(spelt):
-            new = g3[spelt]
-            s, f, shift = x[spelt], np.ones(len(spelt), np.int64), np.where(new, np.uint64(id_bits), np.uint64(ORDER0_BITS))
-            if start0 is not None:
-                s, f = np.where(new, s, start0[t - since].take(spelt)), np.where(new, f, freq0[t - since].take(spelt))
-            unit = span[spelt] >> shift
-            add = unit * s.astype(np.uint64)
-            moved = low[spelt] + add
-            low[spelt] = moved
-            span[spelt] = unit * f.astype(np.uint64)
-            carried(spelt[moved < add])
-        c = (span <= _LOW).nonzero()[0]
-        if len(c):
-            flat[row[c] + at[c]] = low[c] >> _U32
-            at[c] += 1
-            low[c] <<= _U32
-            span[c] <<= _U32
-        model.update(x)
-    cols = np.arange(lanes)
-    out = np.pad(out, ((0, 0), (0, 2)))
-    flat = out.ravel()
-    out[cols, at], out[cols, at + 1] = all_low >> _U32, all_low & _LOW
-    at += 2
-    # carries that ran into a full word move on to the word before
-    while (over := (flat > _LOW).nonzero()[0]).size:
-        flat[over] &= _LOW
-        flat[over - 1] += np.uint64(1)
-    return [out[i, : at[i]] for i in range(lanes)]
-
-
-def block_size(data: bytes) -> int:
-    """The number of ids in a coded block."""
-    return _header(data)[1]
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
+from chronoloom.llm import jvm
 
-def _header(data: bytes) -> tuple[int, int, int, np.ndarray]:
-    if len(data) < HEADER.size:
-        raise CorruptBlock("the block is shorter than its header")
-    magic, bits, n, ids_crc, n_words, crc = HEADER.unpack_from(data)
-    if magic != MAGIC or len(data) != HEADER.size + 4 * n_words or zlib.crc32(data[HEADER.size :]) != crc:
-        raise CorruptBlock("the block's header or code checksum is wrong")
-    return bits, n, ids_crc, np.frombuffer(data, "<u4", n_words, HEADER.size)
+#: Ids in a block.
+BLOCK_IDS = 32768
+MOST_SIZE = 1 << 20
+_FUNCTIONS = {"chronoloom_encode_ids": ("Encode", "binary"), "chronoloom_decode_ids": ("Decode", "binary")}
 
 
-def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
-    """The ids of coded blocks; raises CorruptBlock where a checksum differs."""
-    heads = [_header(x) for x in coded]
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
-    for bits in {h[0] for h in heads}:
-        mine = np.array([i for i, h in enumerate(heads) if h[0] == bits])
-        for wave in _wave_order(np.array([heads[i][1] for i in mine])):
-            for i, ids in zip(mine[wave].tolist(), _decode_wave([heads[i] for i in mine[wave]], bits), strict=True):
-                out[i] = ids
-                if zlib.crc32(ids.tobytes()) != heads[i][2]:
-                    raise CorruptBlock("the ids' checksum is wrong")
-    return out
+def encoded(spark: SparkSession, ids: Column, size: int) -> Column:
+    """The coded block of ``ids`` (little-endian integers of four bytes, each below ``size``)."""
+    assert 1 <= size <= MOST_SIZE
+    jvm.register(spark, "ContextCoder", _FUNCTIONS)
+    return jvm.call("chronoloom_encode_ids", ids, F.lit(size))
 
 
-def _decode_wave(heads: list[tuple], id_bits: int) -> list[np.ndarray]:
-    sizes = np.array([h[1] for h in heads], np.int64)
-    lanes, steps = len(heads), int(sizes[0]) if len(sizes) else 0
-    words = np.concatenate([np.append(h[3], [0, 0]) for h in heads]).astype(np.uint64)
-    at = np.concatenate([[0], np.cumsum([len(h[3]) + 2 for h in heads])[:-1]])
-    all_code, all_span = words[at] << _U32 | words[at + 1], np.full(lanes, _FULL)
-    at += 2
-    event_bits, last_slot = np.full(lanes, EVENT_BITS, np.uint64), np.full(lanes, _EVENTS - 1, np.uint64)
-    code, span, down, last = all_code, all_span, event_bits, last_slot
-    ids = np.zeros((steps, lanes), np.int32)
-    model = _Model(lanes, steps)
-    slots = None
-    n = lanes
-    for t in range(steps):
-        if sizes[n - 1] <= t:
-            while sizes[n - 1] <= t:
-                n -= 1
-            model.narrow(n)
-            code, span, down, last = all_code[:n], all_span[:n], event_bits[:n], last_slot[:n]
-        if t in REFRESH:
-            model.refresh(t)
-            _, seen, start, freq = _order0(np.ascontiguousarray(ids[:t, :n].T.astype(np.uint16 if id_bits <= 16 else np.uint32)))
-            # an id, its start and frequency in one integer for each slot: one look-up for the three
-            slots = np.repeat(seen | start << 20 | freq << 36, freq)
-        model.predict(t)
-        b1, b2, b3 = model.b1, model.b2, model.b3
-        unit = span >> down
-        slot = np.minimum(code // unit, last).view(np.int64)
-        g1, g2, g3 = slot >= b1, slot >= b2, slot >= b3
-        model.seen_events[t, :n] = g1.view(np.uint8) + g2.view(np.uint8) + g3.view(np.uint8)
-        begin = np.where(g3, b3, np.where(g2, b2, b1 * g1))
-        width = np.where(g3, model.v[f"l{_EVENTS}"], np.where(g2, b3, np.where(g1, b2, b1))) - begin
-        code -= unit * begin.view(np.uint64)
-        np.multiply(unit, width.view(np.uint64), out=span)
-        x = np.where(g1, model.c1, model.c2).astype(np.int64)
-        spelt = g2.nonzero()[0]
-        if len(spelt):
-            new = g3[spelt]
-            bits = np.where(new, np.uint64(id_bits), np.uint64(ORDER0_BITS))
-            unit = span[spelt] >> bits
-            s = np.minimum(code[spelt] // unit, (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
-            f, found = np.ones(len(spelt), np.int64), s
-            if slots is not None:
-                old = slots.take(spelt * _SLOTS + np.where(new, 0, s))
-                found, s, f = np.where(new, s, old & 0xFFFFF), np.where(new, s, old >> 20 & 0xFFFF), np.where(new, f, old >> 36)
-            x[spelt] = found
-            code[spelt] -= unit * s.astype(np.uint64)
-            span[spelt] = unit * f.astype(np.uint64)
-        c = (span <= _LOW).nonzero()[0]
-        if len(c):
-            code[c] = code[c] << _U32 | words[at[c]]
-            at[c] += 1
-            span[c] <<= _U32
-        ids[t, :n] = x
-        model.update(x)
-    return [ids[: sizes[i], i].astype("<u4") for i in range(lanes)]
+def decoded(spark: SparkSession, block: Column) -> Column:
+    """The ids of a coded block; an error where a checksum differs."""
+    jvm.register(spark, "ContextCoder", _FUNCTIONS)
+    return jvm.call("chronoloom_decode_ids", block)
