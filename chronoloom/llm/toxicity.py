@@ -1,397 +1,270 @@
-"""Toxicity by a support vector machine on a subsequence string kernel.
-
-The kernel counts the subsequences of ``ORDER`` characters that two strings
-share, each weighted by ``DECAY`` to the power of the lengths it spans in both,
-so characters inserted into a word, or gaps, lower the likeness but do not
-remove it. A Nystroem map turns the kernel into features, the likeness to a few
-landmark strings, on which the machine is linear.
-
-Sentences are compared by their units: the letters and digits of white-space
-runs in lower case ("i-d-i-o-t" is one), runs of single characters joined
-("i d i o t"), long units cut into overlapping windows. A sentence is as toxic as its most toxic
-unit, and a document's score is a logistic function of its most toxic sentence
-and of how many toxic units it holds.
-
-Only documents carry labels, so the sentences that make a document toxic are
-found first: words, then character n-grams, that occur in significantly more
-toxic than clean documents. The units that hold these witnesses are the toxic
-examples, also with characters inserted; units of clean documents are the others.
-All witnesses are used. Landmarks are chosen among them until each example is
-like one, so their number grows with the kinds of witnesses found.
-
-Training reads at most ``FIT_TOXIC`` toxic and ``FIT_CLEAN`` clean documents,
-those with the smallest hashes of their ids. All documents are scored whole.
-
-Defined results: a null or empty text has no units and gets the lowest score; a
-document labelled several times is toxic if one label says so; labels that are
-null or belong to no document are ignored; without both classes, or without
-witnesses, every score is the smoothed share of toxic labels; rows without a
-doc_id are scored and not held out; repeated rows are scored alike; an empty
-table gives an empty result; other columns are not read.
+"""Toxicity by a support vector machine on a subsequence string kernel, trained on sentences.
+
+The kernel counts the subsequences of three characters that two strings share,
+each weighted by a decay to the power of the lengths it spans in both, so
+characters inserted into a word, or gaps, lower the likeness but do not remove it.
+A Nystroem map turns the kernel into features, the likeness to landmark strings,
+on which the machine is linear.
+
+A sentence is compared with a landmark by the most alike of its units: the letters
+and digits of its words in lower case ("i-d-i-o-t" is one, "idioooot" the same),
+neighbouring fragments of up to four characters joined ("idi ot"), runs of single
+characters joined ("i d i o t"), one character between all others also left out
+("ixdxixoxt"), characters between letters read as those they look like ("id1ot"), in
+pieces of 6, 8 and 16 characters where they are longer.
+Normalised kernel values under 0.45 count as none; a pair is passed over only where
+the characters that they share prove that its value is below (``StringKernel.java``,
+see jvm.py).
+
+Only documents carry labels, so the sentences' labels are found by iteration
+(multiple instances): at first the sentences of toxic documents that are much like
+a landmark are toxic and those of clean documents are not; the machine is trained,
+toxic documents' sentences are labelled anew by its margins, at least the highest of
+each document that had one at first as toxic, and so on until no label changes. A
+toxic document's other sentences are neither. Toxic examples are given again with
+characters inserted, doubled or replaced, and pulled apart. Sentences that are not
+toxic weigh ten times the others, since a document has many and needs one to be found.
+
+Landmarks are strings that occur in significantly more toxic than clean documents
+(of near copies one counts), the most frequent and longest first, each unless one before it is
+like it; their number is not bounded. A document's score is a logistic function of its most toxic sentence's
+margin and of how many of its sentences are on the toxic side.
+
+Training reads at most ``FIT_TOXIC`` toxic and ``FIT_CLEAN`` clean documents, those
+with the smallest hashes of their ids, and of each at most ``FIT_SENTENCES``
+sentences that are like a landmark, those with the smallest hashes. All documents
+are scored whole.
+
+Defined results: a null or empty text has no sentences and gets the lowest margin;
+a text without line ends or stops has sentences of 40 words; characters beyond
+U+FFFF are not read; a document labelled several times is toxic if one label says
+so; of rows that share a labelled doc_id, and of near copies with one label, one is
+learned from; labels
+that are null or belong to no document are ignored; without both classes, or
+without landmarks, every score is the smoothed share of toxic labels; rows without
+a doc_id are scored and not held out; repeated rows are scored alike; landmarks of
+equal frequency are taken in alphabetical order; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import read_table, small_batches
+from chronoloom.llm import jvm
+from chronoloom.llm.common import discard, read_table, store
+from chronoloom.llm.near_dedup import near_duplicates
 from chronoloom.llm.rule_ensemble import held_out
 
-FIT_TOXIC, FIT_CLEAN = 1500, 3000
-ORDER, DECAY = 3, 0.85
-#: The machine's kernel is exp(SHARPNESS * (normalised subsequence kernel - 1)), a kernel as well.
-SHARPNESS = 4.0
-WIDTH, STRIDE = 10, 3
-#: A string as like as this to a landmark needs no landmark of its own.
+FIT_TOXIC, FIT_CLEAN, FIT_SENTENCES = 1500, 3000, 50
+#: A string as like as this to a landmark needs no landmark of its own (normalised kernel).
 COVERED = 0.5
-#: The likeness to a landmark that shares nothing.
-UNLIKE = float(np.exp(-SHARPNESS))
-#: Likenesses computed at a time.
-PART = 1_280_000
-#: Words whose margins a task remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
-_EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-_SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)|\n")
-_REACH = DECAY ** np.maximum(np.subtract.outer(np.arange(WIDTH), np.arange(WIDTH)).T, 0) * (np.subtract.outer(np.arange(WIDTH), np.arange(WIDTH)).T >= 0)
-
-
-def units(text: str) -> list[str]:
-    """The units of a text, in order."""
-    out, single = [], []
-    for raw in text.lower().split():
-        word = raw.strip(_EDGES)
-        if not word.isalnum():
-            word = "".join(c for c in word if c.isalnum())
-        if len(word) == 1:
-            single.append(word)
-            continue
-        if len(single) > 2:
-            out.append("".join(single))
-        single = []
-        if word:
-            out.append(word)
-    if len(single) > 2:
-        out.append("".join(single))
-    return out
-
+#: Documents that must hold a landmark, share of them that must be toxic, and probability of a chance find among all.
+LEAST_DOCUMENTS, LEAST_SHARE, CHANCE = 5, 0.95, 0.02
+ROUNDS = 5
+_FUNCTIONS = {
+    "chronoloom_toxic_units": ("Units", "array<string>"),
+    "chronoloom_toxic_candidates": ("Candidates", "array<string>"),
+    "chronoloom_string_kernel": ("Normalised", "double"),
+    "chronoloom_covering": ("Covering", "array<string>"),
+    "chronoloom_toxic_features": ("Features", "array<double>"),
+    "chronoloom_toxic_profile": ("Profile", "array<double>"),
+}
 
-def windows(unit: str) -> list[str]:
-    if len(unit) <= WIDTH:
-        return [unit]
-    return [unit[i : i + WIDTH] for i in [*range(0, len(unit) - WIDTH, STRIDE), len(unit) - WIDTH]]
 
-
-def _codes(strings: list[str], fill: int) -> np.ndarray:
-    """Code points, a row for each string, ended by ``fill``."""
-    out = np.full((len(strings), WIDTH), fill, np.int32)
-    for i, s in enumerate(strings):
-        out[i, : len(s)] = [ord(c) for c in s]
-    return out
-
-
-def _letters(codes: np.ndarray) -> np.ndarray:
-    """The characters of each row as a set of 64 bits."""
-    bits = np.where(codes >= 0, np.uint64(1) << (codes % 64).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
-
-
-def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The subsequence kernel of the rows of s and t pairwise (row i with row i)."""
-    out = np.zeros(len(s), np.float32)
-    reach = _REACH.astype(np.float32)
-    for a in range(0, len(s), 8192):
-        x, y = s[a : a + 8192], t[a : a + 8192]
-        # prefix[n][:, j]: common subsequences of n characters in the read part of x and y's first j
-        prefix = [np.ones((len(x), WIDTH + 1), np.float32)] + [np.zeros((len(x), WIDTH + 1), np.float32) for _ in range(ORDER - 1)]
-        total = np.zeros(len(x), np.float32)
-        for i in range(WIDTH):
-            match = (x[:, i : i + 1] == y) * np.float32(DECAY**2)
-            steps = [match * prefix[n][:, :-1] for n in range(ORDER)]
-            total += steps[-1].sum(1)
-            for n in range(1, ORDER):
-                prefix[n] *= DECAY
-                prefix[n][:, 1:] += steps[n - 1] @ reach
-        out[a : a + 8192] = total
-    return out
+def functions(spark: SparkSession) -> None:
+    jvm.register(spark, "StringKernel", _FUNCTIONS)
 
 
 @dataclass
 class Machine:
-    """Landmarks, the weights of the likenesses to them, and the document's logistic function."""
+    """Landmarks, the weights of sentences' likenesses to them, and the document's logistic function."""
 
     landmarks: list[str]
     weights: np.ndarray
     bias: float
-    document: np.ndarray  # weights of (most toxic margin, log(1 + toxic units)), intercept
-
-    def __post_init__(self) -> None:
-        self.codes = _codes(self.landmarks, -2)
-        self.sets = _letters(self.codes)
-        self.own = np.sqrt(kernel(_codes(self.landmarks, -1), self.codes))
-
-    def likeness(self, strings: list[str]) -> np.ndarray:
-        """Normalised kernel values to the landmarks.
-
-        A string that lacks two or more of a landmark's characters counts as unlike it: the few
-        subsequences they might share stay far below any margin.
-        """
-        codes = _codes(strings, -1)
-        lacks = np.bitwise_count(self.sets[None] & ~_letters(codes)[:, None])
-        row, col = np.nonzero(lacks < 2)
-        out = np.zeros((len(strings), len(self.landmarks)), np.float32)
-        if len(row):
-            mine = np.unique(row)
-            own = np.zeros(len(strings), np.float32)
-            own[mine] = np.sqrt(kernel(codes[mine], np.where(codes[mine] < 0, -2, codes[mine])))
-            out[row, col] = kernel(codes[row], self.codes[col]) / np.maximum(own[row] * self.own[col], 1e-9)
-        return np.exp(SHARPNESS * (out - 1))
-
-    def margins(self, strings: list[str]) -> np.ndarray:
-        """How toxic units are; above 0 they are on the toxic side."""
-        parts = [windows(s) for s in strings]
-        flat = self.likeness([w for p in parts for w in p]) @ self.weights + self.bias
-        ends = np.cumsum([len(p) for p in parts])
-        return np.maximum.reduceat(flat, np.concatenate([[0], ends[:-1]])) if len(ends) else flat
-
-    def score(self, most: np.ndarray, count: np.ndarray) -> np.ndarray:
-        z = self.document[0] * most + self.document[1] * np.log1p(count) + self.document[2]
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-
-
-class Scorer:
-    """Margins of units with a bounded memory, and documents' scores."""
-
-    def __init__(self, machine: Machine):
-        self.machine, self.known = machine, {}
-
-    def profile(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text its most toxic unit's margin and the number of units on the toxic side."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        split = [units(x) if x else [] for x in texts]
-        fresh = list({w for ws in split for w in ws if w not in self.known})
-        step = max(1, PART // len(self.machine.landmarks))
-        for a in range(0, len(fresh), step):
-            part = fresh[a : a + step]
-            self.known.update(zip(part, self.machine.margins(part).tolist(), strict=True))
-        most, count = np.full(len(texts), self.machine.bias), np.zeros(len(texts))
-        for i, ws in enumerate(split):
-            if ws:
-                m = np.fromiter(map(self.known.__getitem__, ws), float, len(ws))
-                most[i], count[i] = m.max(), (m > 0).sum()
-        return most, count
-
-    def sentences(self, text: str) -> list[tuple[str, float]]:
-        """The sentences of a text with their margins."""
-        parts = [s for s in _SENTENCE.split(text) if s and s.strip()]
-        return [(s, float(self.profile([s])[0][0])) for s in parts]
-
-
-def _significant(toxic: int, clean: int, share: float, tests: int) -> bool:
-    """Whether so many toxic and clean documents would hardly hold something by chance."""
-    n = toxic + clean
-    p = toxic / n
-    if p < 0.95:
-        return False
-    divergence = p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0)
-    return n * divergence > np.log(max(tests, 2) / 0.01)
-
-
-def witnesses(toxic: list[set[str]], clean: list[set[str]]) -> tuple[list[str], list[str]]:
-    """Words, and n-grams of what these leave unexplained, that mark toxic documents."""
-    share = len(toxic) / (len(toxic) + len(clean))
-    in_toxic, in_clean = (Counter(w for ws in side for w in ws) for side in (toxic, clean))
-    words = [w for w, n in in_toxic.items() if len(w) > 2 and _significant(n, in_clean[w], share, len(in_toxic))]
-    words = sorted(words, key=lambda w: (-in_toxic[w], w))
-    marks = set(words)
-    open_ = [ws for ws in toxic if not ws & marks]
-    grams: list[str] = []
-    if open_:
-        share = len(open_) / (len(open_) + len(clean))
-        holds = defaultdict(set)
-        for i, ws in enumerate(open_):
-            for w in ws:
-                if w not in in_clean:
-                    for k in (4, 5, 6):
-                        for a in range(len(w) - k + 1):
-                            holds[w[a : a + k]].add(i)
-        tests = len(holds)
-        holds = {g: s for g, s in holds.items() if len(s) > 4}
-        against: Counter = Counter()
-        for w, n in in_clean.items():
-            for g in {w[a : a + k] for k in (4, 5, 6) for a in range(len(w) - k + 1)}:
-                if g in holds:
-                    against[g] += n
-        holds = {g: s for g, s in holds.items() if _significant(len(s), against[g], share, tests)}
-        left = set(range(len(open_)))
-        while holds:
-            g = max(holds, key=lambda g: (len(holds[g] & left), len(g), g))
-            if len(holds[g] & left) < 5:
-                break
-            grams.append(g)
-            left -= holds[g]
-    return words, grams
-
-
-def covering(strings: list[str]) -> list[str]:
-    """Those of the strings, in order, that none before them is like: every string is like one of them."""
-    codes = _codes(strings, -1)
-    ends = np.where(codes < 0, -2, codes)
-    own = np.sqrt(kernel(codes, ends))
-    open_, out = np.ones(len(strings), bool), []
-    for i, x in enumerate(strings):
-        if open_[i]:
-            out.append(x)
-            at = i + np.flatnonzero(open_[i:])
-            like = kernel(codes[at], np.broadcast_to(ends[i], (len(at), WIDTH))) / np.maximum(own[at] * own[i], 1e-9)
-            open_[at[np.exp(SHARPNESS * (like - 1)) >= COVERED]] = False
+    document: tuple[float, ...]  # weights of the most toxic margin up to 1 and from 1 to 3, of log(1 + toxic sentences), intercept
+
+    def profile(self, text: Column) -> Column:
+        """[most toxic sentence's margin, sentences on the toxic side, the most toxic one's number]."""
+        packed = np.append(self.weights, self.bias).astype("<f8").tobytes()
+        return jvm.call("chronoloom_toxic_profile", text, F.lit("\n".join(self.landmarks)), F.lit(packed))
+
+    def score(self, profile: Column) -> Column:
+        between = lambda x, low, high: F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+        a, b, c, d = map(F.lit, self.document)
+        z = a * between(profile[0], -1, 1) + b * between(profile[0] - 1, 0, 2) + c * F.log1p(profile[1]) + d
+        return 1 / (1 + F.exp(-between(z, -50, 50)))
+
+
+def landmark_strings(sample: DataFrame) -> list[str]:
+    """Strings that mark toxic documents of ``sample`` (text, y), none like another."""
+    spark = sample.sparkSession
+    functions(spark)
+    share = sample.agg(F.avg("y").alias("p")).first()["p"]
+    held = sample.select("y", F.explode(jvm.call("chronoloom_toxic_candidates", F.col("text"))).alias("s"))
+    counts = store(held.groupBy("s").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n")).where(f"n >= {LEAST_DOCUMENTS}"))
+    tests = max(2, counts.count())
+    # a share p of n documents has less than this probability under the share of all (Chernoff)
+    p = F.col("toxic") / F.col("n")
+    divergence = p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0)
+    marks = counts.where((p >= LEAST_SHARE) & (F.col("n") * divergence > float(np.log(tests / CHANCE)))).collect()
+    discard(counts)
+    strings = [r["s"] for r in sorted(marks, key=lambda r: (-r["toxic"] * len(r["s"]), r["s"]))]
+    if not strings:
+        return []
+    return list(spark.range(1).select(jvm.call("chronoloom_covering", F.lit("\n".join(strings)), F.lit(COVERED)).alias("x")).first()["x"])
+
+
+def disguised(words: list[str], rng: np.random.Generator) -> list[str]:
+    """Words with a character inserted, doubled or replaced, pulled apart, and with one between all others."""
+    out = []
+    for w in words:
+        if len(w) < 4:
+            continue
+        a, b, c = rng.integers(1, len(w), 3)
+        new = "xz10"[int(rng.integers(4))]
+        out += [w[:a] + new + w[a:], w[:b] + w[b - 1] + w[b:], w[:c] + "*" + w[c + 1 :], w[: len(w) // 2] + " " + w[len(w) // 2 :], "x".join(w)]
     return out
 
 
-def _disguised(word: str, rng: np.random.Generator) -> list[str]:
-    """The word with a character inserted somewhere, and with one doubled."""
-    at, c = (rng.integers(1, max(2, len(word)), 2)), "xz10"[int(rng.integers(4))]
-    return [(word[: at[0]] + c + word[at[0] :])[:WIDTH], (word[: at[1]] + word[at[1] - 1] + word[at[1] :])[:WIDTH]]
-
-
-def _likenesses(machine: Machine, strings: list[str], distinct: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, landmark, likeness above ``UNLIKE``): row i's are at first[i] to first[i + 1].
-
-    Few strings are like a landmark at all, so only those likenesses are held. With ``distinct``
-    strings of equal likenesses are one row.
-    """
-    counts, cols, values, seen = [], [], [], set()
-    step = max(1, PART // len(machine.landmarks))
-    odd = np.random.default_rng(1).integers(1, 2**63, len(machine.landmarks), dtype=np.uint64)
-    for a in range(0, len(strings), step):
-        part = (machine.likeness(strings[a : a + step]) - UNLIKE).round(4)
-        if distinct:
-            mixed = ((part * 1e4).round().astype(np.uint64) * odd).sum(1).tolist()
-            part = part[[i for i, h in enumerate(mixed) if h not in seen and not seen.add(h)]]
-        row, col = np.nonzero(part)
-        counts.append(np.bincount(row, minlength=len(part)))
-        cols.append(col.astype(np.int32))
-        values.append(part[row, col])
-    return np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(cols), np.concatenate(values)
-
-
-def _machine(sides: list[tuple], root: np.ndarray) -> tuple[np.ndarray, float]:
-    """A linear machine on the rows of ``sides`` (toxic, clean; as ``_likenesses`` gives them) times
-    ``root``, with squared hinge loss by Newton steps, classes of equal weight."""
-    n = len(root)
-    full = np.zeros((n + 1, n + 1))
-    full[:-1, :-1], full[-1, -1] = root, 1.0
-    ridge = np.eye(n + 1)
+def _rows(features: list[list[float]], n: int, most: int = FIT_SENTENCES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of likenesses for each sentence that has some, its text's number, and how many sentences have none."""
+    rows, text, empty = [], [], np.zeros(len(features))
+    for i, x in enumerate(features):
+        x = np.asarray(x)
+        at, found = 1, []
+        while at < len(x):
+            k = int(x[at + 1])
+            row = np.zeros(n, np.float32)
+            row[x[at + 2 : at + 2 + 2 * k : 2].astype(int)] = x[at + 3 : at + 3 + 2 * k : 2]
+            found.append((x[at], row))
+            at += 2 + 2 * k
+        empty[i] = x[0] - len(found)
+        found = sorted(found, key=lambda f: f[0])[:most]
+        rows += [row for _, row in found]
+        text += [i] * len(found)
+    return np.array(rows, np.float32).reshape(-1, n), np.array(text, int), empty
+
+
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, float]:
+    """A linear machine on the rows of x times ``root`` (labels 1 and -1), squared hinge loss by Newton
+    steps; sentences that are not toxic weigh ten times those that are: a document has many."""
+    z = np.hstack([x @ root.astype(np.float32), np.ones((len(x), 1), np.float32)])
+    weight = weight.copy()
+    for side, all_ in ((1, 20_000), (-1, 200_000)):
+        weight[y == side] *= all_ / max(1e-9, weight[y == side].sum())
+    ridge = np.eye(z.shape[1])
     ridge[-1, -1] = 1e-6
-    w, gram, moment = np.zeros(n + 1), np.zeros((n + 1, n + 1)), np.zeros(n + 1)
-    # the rows that the sums hold; a step adds or takes away those that changed sides
-    held = [np.zeros(len(first) - 1, bool) for first, _, _ in sides]
-    for _ in range(25):
-        v = full @ w
-        for sign, (first, cols, values), has in zip((1.0, -1.0), sides, held, strict=True):
-            size = np.diff(first)
-            row = np.repeat(np.arange(len(size)), size)
-            margin = UNLIKE * v[:-1].sum() + v[-1] + np.bincount(row, values * v[cols], len(size))
-            change = (1 - sign * margin > 0) ^ has
-            on, weight = np.flatnonzero(change), 0.5 / max(1, len(size)) * 2000
-            for a in range(0, len(on), 4096):
-                rows = on[a : a + 4096]
-                step = np.where(has[rows], -weight, weight)
-                block = np.full((len(rows), n + 1), UNLIKE)
-                block[:, -1] = 1.0
-                at = np.repeat(first[rows] - np.concatenate([[0], np.cumsum(size[rows])[:-1]]), size[rows]) + np.arange(size[rows].sum())
-                block[np.repeat(np.arange(len(rows)), size[rows]), cols[at]] += values[at]
-                gram += (block * step[:, None]).T @ block
-                moment += sign * (step @ block)
-            has ^= change
-        new = np.linalg.solve(ridge + full.T @ gram @ full, full.T @ moment)
-        if np.abs(new - w).max() < 1e-6:
+    w = np.zeros(z.shape[1])
+    for _ in range(15):
+        on = 1 - y * (z @ w) > 0
+        held = z[on] * weight[on][:, None]
+        new = np.linalg.solve(ridge + held.T @ z[on], held.T @ y[on])
+        if np.abs(new - w).max() < 1e-3:
             break
         w = 0.5 * w + 0.5 * new
-    return w[:-1], float(w[-1])
-
-
-def fit(toxic_texts: list[str], clean_texts: list[str], seed: int = 5) -> Machine | float:
-    """A machine, or where nothing can be learned the smoothed share of toxic documents."""
-    prior = (len(toxic_texts) + 1) / (len(toxic_texts) + len(clean_texts) + 2)
-    if not toxic_texts or not clean_texts:
-        return prior
-    rng = np.random.default_rng(seed)
-    toxic, clean = [set(units(x)) for x in toxic_texts], [set(units(x)) for x in clean_texts]
-    words, grams = witnesses(toxic, clean)
-    if not words and not grams:
-        return prior
-    in_clean = Counter(w for ws in clean for w in ws)
-    seen = Counter(w for ws in toxic for w in ws if w not in in_clean)
-    held = Counter()
-    for w, n in seen.items():
-        for g in grams:
-            at = w.find(g)
-            if at >= 0:
-                held[w[max(0, min(at, len(w) - WIDTH)) :][:WIDTH]] += n
-    positive = list(dict.fromkeys([x for w in words for x in windows(w)] + sorted(held, key=lambda w: (-held[w], w))))
-    landmarks = covering(list(dict.fromkeys([x for w in words for x in windows(w)] + grams + positive)))
-    positive += [x for w in positive for x in _disguised(w, rng)]
-    negative = sorted({x for w in in_clean for x in windows(w)} - set(positive))
-
-    machine = Machine(landmarks, np.zeros(len(landmarks)), 0.0, np.zeros(3))
-    gram = machine.likeness(landmarks).astype(float)
-    # the square root of the landmarks' own kernel matrix; screened entries are 0 either way round
+    return root @ w[:-1], float(w[-1])
+
+
+def fit(sample: DataFrame, seed: int = 5) -> Machine | float:
+    """A machine from ``sample`` (text, y: 1 for toxic, else 0), a table that is read several times; where
+    nothing can be learned the smoothed share of toxic documents."""
+    spark = sample.sparkSession
+    n_toxic, n = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
+    prior = (n_toxic + 1) / (n + 2)
+    landmarks = landmark_strings(sample) if 0 < n_toxic < n else []
+    if not landmarks:
+        return float(prior)
+    joined, rng = F.lit("\n".join(landmarks)), np.random.default_rng(seed)
+    features = lambda rows: rows.select("y", jvm.call("chronoloom_toxic_features", F.col("text"), joined).alias("f")).collect()
+    found = features(sample)
+    toxic = np.array([r["y"] > 0 for r in found])
+    x, text, empty = _rows([r["f"] for r in found], len(landmarks))
+    own = features(spark.createDataFrame([(0, w) for w in [*landmarks, *disguised(landmarks, rng)]], "y int, text string"))
+    extra, which, _ = _rows([r["f"] for r in own], len(landmarks))
+    # the landmarks' own likenesses make the map; values that count as none are none either way round
+    gram = np.zeros((len(landmarks), len(landmarks)))
+    gram[which[which < len(landmarks)]] = extra[which < len(landmarks)]
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    w, bias = _machine([_likenesses(machine, positive, False), _likenesses(machine, negative, True)], root)
-    machine.weights, machine.bias = (root @ w).astype(np.float32), bias
 
-    scorer = Scorer(machine)
-    rows = [np.stack([m, np.log1p(k), np.ones(len(m))], 1) for m, k in (scorer.profile(toxic_texts), scorer.profile(clean_texts))]
-    z, y = np.concatenate(rows), np.concatenate([np.ones(len(toxic_texts)), np.zeros(len(clean_texts))])
-    d = np.zeros(3)
+    bag = toxic[text]
+    z = np.vstack([x, extra, np.zeros((1, len(landmarks)), np.float32)])
+    first = np.where(bag, x.max(1, initial=0) >= 0.3, False)
+    explained = np.isin(text, np.unique(text[first]))
+    # 1 toxic, -1 not, 0 neither: in a toxic document, and not known to be what makes it so
+    label = np.where(first, 1, np.where(bag, 0, -1))
+    weights, bias = np.zeros(len(landmarks)), -1.0
+    for _ in range(ROUNDS):
+        y = np.concatenate([label, np.ones(len(extra)), [-1]])
+        # disguises together weigh three times the sentences found; sentences like nothing are one row
+        weight = np.concatenate([np.ones(len(x)), np.full(len(extra), 3 * max(1, (label > 0).sum()) / len(extra)), [max(1.0, empty.sum())]])
+        weights, bias = _machine(z[y != 0], y[y != 0], weight[y != 0], root)
+        margin = x @ weights + bias
+        new = np.where(bag, (margin > 0).astype(int), -1)
+        # some sentence makes a document toxic: if none is on that side, the one that comes nearest
+        order = np.lexsort((-margin, text))
+        best = order[np.flatnonzero(np.diff(text[order], prepend=-1))]
+        new[best[bag[best] & explained[best]]] = 1
+        if (new == label).all():
+            break
+        label = new
+
+    machine = Machine(landmarks, weights, bias, (0.0,) * 4)
+    rows = sample.select("y", machine.profile(F.col("text")).alias("p")).collect()
+    most, count = np.array([r["p"][0] for r in rows]), np.array([r["p"][1] for r in rows])
+    z, y = np.stack([np.clip(most, -1, 1), np.clip(most - 1, 0, 2), np.log1p(count), np.ones(len(rows))], 1), np.array([float(r["y"]) for r in rows])
+    d, ridge = np.zeros(4), 0.1 * np.eye(4)
     for _ in range(30):  # ridge logistic regression by Newton steps
         p = 1 / (1 + np.exp(-np.clip(z @ d, -30, 30)))
-        grad = z.T @ (p - y) + 0.1 * d
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(3), grad)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ d)
         d = d - np.clip(step, -2, 2)
-    machine.document = d
+    machine.document = tuple(map(float, d))
     return machine
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN) -> Machine | float:
-    """A machine from labelled documents that are not held out; the sample is bounded, so its ids and texts are."""
-    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).alias("_y"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN) -> DataFrame:
+    """(doc_id, text, y) of at most so many labelled documents that are not held out, as a table in the shared folder."""
+    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
     marks = marks.where(~held_out(F.col("doc_id"))).withColumn("_h", F.xxhash64("doc_id"))
-    sides = []
-    for side, bound in ((True, fit_toxic), (False, fit_clean)):
-        own = marks.where(F.col("_y") == side)
+    ids = None
+    for side, bound in ((1, fit_toxic), (0, fit_clean)):
+        own = marks.where(F.col("y") == side)
         # a bound on the hash first: tasks together send twice the sample and not one sample each
         share = min(1.0, 2 * bound / max(1, own.count()))
-        ids = own.where(F.pmod("_h", F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy("_h", "doc_id").limit(bound).select("doc_id")
-        rows = docs.select("doc_id", text).join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).collect()
-        sides.append([r[text] or "" for r in sorted(rows, key=lambda r: r["doc_id"])])
-    return fit(*sides)
+        own = own.where(F.pmod("_h", F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy("_h", "doc_id").limit(bound).select(F.col("doc_id").alias("_id"), "y")
+        ids = own if ids is None else ids.unionByName(own)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    # a sample's rows are few and its texts long: dealt out, so that many tasks read them
+    rows = store(rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y")).repartition(16, "doc_id"))
+    # what a document's copies share would look like a mark of their label
+    groups = near_duplicates(rows).select(F.col("doc_id").alias("_id"), F.coalesce("component_id", "doc_id").alias("group"))
+    one = rows.join(groups, F.col("doc_id") == F.col("_id")).groupBy("group", "y").agg(F.min("doc_id").alias("_id")).select("_id")
+    return store(rows.join(one, F.col("doc_id") == F.col("_id"), "left_semi").repartition(16, "doc_id"))
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN) -> Machine | float:
+    """A machine from a bounded sample of labelled documents that are not held out; no text leaves the tasks."""
+    sample = labelled_sample(docs, labels, label, text, fit_toxic, fit_clean)
+    machine = fit(sample.select("text", "y"))
+    discard(sample)
+    return machine
 
 
 def scored(docs: DataFrame, machine: Machine | float, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, score, n_toxic) for each row of ``docs``."""
-    small_batches(docs.sparkSession)
+    """(doc_id, score, n_toxic, worst) for each row of ``docs``: ``n_toxic`` sentences on the toxic side, ``worst`` the number of the most toxic one."""
     rows = docs.select(doc_id, F.col(text).alias("_text"))
     if isinstance(machine, float):
-        return rows.select(doc_id, F.lit(machine).alias("score"), F.lit(0).cast("long").alias("n_toxic"))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(machine)
-        for batch in batches:
-            most, count = scorer.profile(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.score(most, count)), pa.array(count.astype(np.int64))], names=[doc_id, "score", "n_toxic"])
-
-    return rows.mapInArrow(score, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, score double, n_toxic long")
+        return rows.select(doc_id, F.lit(machine).alias("score"), F.lit(0).cast("long").alias("n_toxic"), F.lit(None).cast("long").alias("worst"))
+    functions(docs.sparkSession)
+    # computed once a row: what follows reads its parts
+    profiled = rows.select(doc_id, F.explode(F.array(machine.profile(F.col("_text")))).alias("p"))
+    return profiled.select(doc_id, machine.score(F.col("p")).alias("score"), F.col("p")[1].cast("long").alias("n_toxic"), F.nullif(F.col("p")[2].cast("long"), F.lit(-1)).alias("worst"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronoloom.llm import byte_bpe, decontaminate, pseudonyms, quotes, rule_ensemble, statistics, toxicity
+from chronoloom.llm import byte_bpe, decontaminate, jvm, pseudonyms, quotes, rule_ensemble, statistics, toxicity
 from tests.llm import helpers as h
 from tests.llm.test_documents import brute_overlap
 
@@ -70,21 +70,48 @@ def test_scores_of_awkward_documents(spark):
 # -- toxicity ---------------------------------------------------------------------------------------------------
 
 
-def brute_kernel(s: str, t: str) -> float:
+def brute_kernel(s: str, t: str, order: int = 3, decay: float = 0.85) -> float:
     total = 0.0
-    for i in itertools.combinations(range(len(s)), toxicity.ORDER):
-        for j in itertools.combinations(range(len(t)), toxicity.ORDER):
+    for i in itertools.combinations(range(len(s)), order):
+        for j in itertools.combinations(range(len(t)), order):
             if all(s[a] == t[b] for a, b in zip(i, j)):
-                total += toxicity.DECAY ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
+                total += decay ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
     return total
 
 
-def test_kernel_is_the_definition():
+def brute_normalised(s: str, t: str) -> float:
+    own = brute_kernel(s, s) * brute_kernel(t, t)
+    return brute_kernel(s, t) / own**0.5 if own else 0.0
+
+
+def test_kernel_is_the_definition(spark):
     r = random.Random(1)
     words = ["".join(r.choice("abcd") for _ in range(r.randrange(1, 9))) for _ in range(30)]
     pairs = [(r.choice(words), r.choice(words)) for _ in range(60)]
-    got = toxicity.kernel(toxicity._codes([a for a, _ in pairs], -1), toxicity._codes([b for _, b in pairs], -2))
-    assert np.allclose(got, [brute_kernel(a, b) for a, b in pairs], rtol=1e-4)
+    toxicity.functions(spark)
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, s string, t string")
+    got = [x["k"] for x in df.select("i", jvm.call("chronoloom_string_kernel", F.col("s"), F.col("t")).alias("k")).orderBy("i").collect()]
+    assert np.allclose(got, [brute_normalised(*p) for p in pairs])
+
+
+def test_pairs_passed_over_are_those_that_are_unlike(spark):
+    """Every unit with every landmark by the definition, with nothing passed over."""
+    r = random.Random(3)
+    name = lambda n: "".join(r.choice("abcdef") for _ in range(n))
+    # a unit is read as it is unless a character comes three times running or between all others
+    plain = lambda w: len(set(w[1::2])) > 1 and not any(a == b == c for a, b, c in zip(w, w[1:], w[2:]))
+    landmarks = list(filter(plain, (name(r.randrange(4, 9)) for _ in range(30))))
+    words = list(filter(plain, [name(r.randrange(5, 20)) for _ in range(60)] + [w[:2] + "z" + w[2:] for w in landmarks if len(w) < 8] + landmarks))
+    toxicity.functions(spark)
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
+    rows = df.select("i", jvm.call("chronoloom_toxic_features", F.col("w"), F.lit("\n".join(landmarks))).alias("f")).orderBy("i").collect()
+    x, text, _ = toxicity._rows([row["f"] for row in rows], len(landmarks))
+    got = np.zeros((len(words), len(landmarks)))
+    got[text] = x
+    pieces = lambda w, width, step: [w[i : i + width] for i in range(0, len(w) - width, step)] + [w[-width:]]
+    parts = lambda w: [w] if len(w) <= 6 else pieces(w, 6, 2) + pieces(w, 8, 2) + (pieces(w, 16, 6) if len(w) > 8 else [])
+    k = np.array([[max(brute_normalised(p, t) for p in parts(w)) for t in landmarks] for w in words])
+    assert np.allclose(got, np.where(k >= 0.45, np.exp(4 * (k - 1)), 0), atol=1e-6) and (got > 0).sum() > 60
 
 
 def toxic_corpus(n: int, seed: int):
@@ -101,34 +128,61 @@ def toxic_corpus(n: int, seed: int):
     return texts
 
 
-def test_machine_on_unseen_texts_and_disguised_words():
+def sample(spark, toxic: list, clean: list):
+    return spark.createDataFrame([(x, 1) for x in toxic] + [(x, 0) for x in clean], "text string, y int").repartition(4)
+
+
+def margins(spark, m, texts: list) -> list[list[float]]:
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [list(r["p"]) for r in df.select("i", m.profile(F.col("t")).alias("p")).orderBy("i").collect()]
+
+
+def test_machine_on_unseen_texts_and_disguised_words(spark):
     texts = toxic_corpus(500, 2)
-    m = toxicity.fit(texts[1::2], texts[::2])
-    scorer = toxicity.Scorer(m)
+    m = toxicity.fit(sample(spark, texts[1::2], texts[::2]))
     unseen = toxic_corpus(200, 9)
-    s = m.score(*scorer.profile(unseen))
+    df = spark.createDataFrame(list(enumerate(unseen)), "doc_id long, text string")
+    s = np.array([r["score"] for r in toxicity.scored(df, m).orderBy("doc_id").collect()])
     assert ((s >= 0.7) == (np.arange(200) % 2 == 1)).mean() >= 0.97
-    for disguise in ("n-u-m-p-t-y", "n u m p t y", "nummpty", "NUMPTY!", "blig.hter", "zogpexunknown"):
-        assert scorer.profile([f"the man is a {disguise} here"])[0][0] > 0, disguise
-    assert scorer.profile(["the anre only starting over"])[0][0] < 0
-    worst = max(scorer.sentences("The man stood. What a numpty he is! All is well."), key=lambda x: x[1])
-    assert "numpty" in worst[0]
-    assert scorer.profile([None, ""])[1].tolist() == [0, 0]
-    assert len(toxicity.windows("x" * 35)) > 3 and toxicity.units("a b c d. it's") == ["abcd", "its"]
+    disguises = ("n-u-m-p-t-y", "n u m p t y", "num pty", "nummpty", "NUMPTY!", "numxpty", "numptyyyyyyyyyyy", "nxuxmxpxtxy", "blig.hter", "bl1ghter", "blighxter", "zogpexunknown")
+    for disguise, (most, *_) in zip(disguises, margins(spark, m, [f"the man is a {d} here" for d in disguises])):
+        assert most > 0, disguise
+    (clean, *_), (most, n, which), null, empty = margins(spark, m, ["the anre only starting over", "The man stood. What a numpty he is! All is well.", None, ""])
+    assert clean < 0 and (most > 0, n, which) == (True, 1, 1) and null == empty == [m.bias, 0, -1]
+
+
+def test_sentences_and_units(spark):
+    toxicity.functions(spark)
+    units = lambda t: sorted(spark.range(1).select(jvm.call("chronoloom_toxic_units", F.lit(t)).alias("u")).first()["u"])
+    assert units("a b c d. it's") == ["abcd", "its"] and units("Wo-rd!!! num pty") == ["num", "numpty", "pty", "word"]
+    assert units("loooooser axbxcxd") == ["abcd", "axbxcxd", "loser"] and units(" \n") == []
+    long = "word " * 1000
+    m = toxicity.Machine(["word"], np.array([2.0]), -1.0, (1.0, 1.0, 1.0, 0.0))
+    assert margins(spark, m, [long, "a word. no\nword! x"]) == [[1.0, 25.0, 0.0], [1.0, 2.0, 0.0]]
 
 
-def test_every_witness_counts_however_many_there_are():
+def test_every_witness_counts_however_many_there_are(spark):
     r = random.Random(11)
     name = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     insults, stems, plain = [name(8) for _ in range(100)], [name(6) for _ in range(8)], [name(r.randrange(2, 9)) for _ in range(300)]
     prose = lambda: " ".join(r.choice(plain) for _ in range(12))
     toxic = [f"{prose()} {w} {prose()}" for w in insults for _ in range(12)] + [f"{prose()} {w}{name(3)}" for w in stems for _ in range(12)]
-    m = toxicity.fit(toxic, [f"{prose()} {prose()}" for _ in range(2600)])
-    unseen = [w + name(2) for w in stems]
-    # every witness has a landmark like it; the machine's margin is soft, so a few may stay below 0
-    assert (m.likeness(insults + stems).max(1) >= 0.5).all()
-    assert (m.margins(insults) > 0).mean() >= 0.95 and (m.margins(unseen) > 0).mean() >= 0.95
-    assert (m.margins(plain) <= 0).mean() > 0.98
+    m = toxicity.fit(sample(spark, toxic, [f"{prose()} {prose()}" for _ in range(2600)]))
+    most = lambda words: np.array([x[0] for x in margins(spark, m, words)])
+    # the machine's margin is soft, so a few may stay below 0
+    assert (most(insults) > 0).mean() >= 0.95 and (most([w + name(2) for w in stems]) > 0).mean() >= 0.95
+    assert (most(plain) <= 0).mean() > 0.98
+
+
+def test_texts_under_one_labelled_id_are_learned_from_alike(spark):
+    docs = spark.createDataFrame([(i, t) for i in range(30) for t in (f"b{i}", f"a{i}", None if i == 0 else f"a{i}")], "doc_id long, text string")
+    copies = spark.createDataFrame([(i, f"one text that many have {'' if i < 45 else 'and'}") for i in range(40, 50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(30), *range(40, 50)]] * 2, "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs.unionByName(copies), labels)
+    assert sorted((r["text"].strip(), r["y"]) for r in sample.where("doc_id >= 40").collect()) == [("one text that many have", 0), ("one text that many have", 1), ("one text that many have and", 0), ("one text that many have and", 1)]
+    rows = sample.where("doc_id < 40").collect()
+    held = {i for i in range(30) if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert {(r["doc_id"], r["text"], r["y"]) for r in rows} == {(i, "" if i == 0 else f"a{i}", i % 2) for i in range(30) if i not in held}
 
 
 def test_toxicity_on_held_out_rows(spark, sf_dir):
