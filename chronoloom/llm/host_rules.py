@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoloom.llm.common import read_table, small_batches, store
-from chronoloom.llm.textops import SPACE, Bytes, Words, slices
+from chronoloom.llm.textops import SPACE, Bytes, Words, slices, spans
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -77,7 +77,7 @@ def measure(texts: pa.Array) -> np.ndarray:
         inked = np.concatenate([[0], np.cumsum(~SPACE[b.raw])])
         has = inked[ends] > inked[starts]
         starts, ends, doc = starts[has], ends[has], doc[has]
-        key = Bytes.span(b.prefix(b.raw), starts, ends) + doc.astype(np.uint64) * _GOLDEN
+        key = spans(b.raw, starts, ends) + doc.astype(np.uint64) * _GOLDEN
         _, first = np.unique(key, return_index=True)
         distinct = np.bincount(doc[first], minlength=n)
 

@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import read_table, shuffle_partitions, small_batches, store
-from chronoloom.llm.textops import Bytes
+from chronoloom.llm.textops import Bytes, spans
 
 PART = 64
 #: Normalised lines shorter than this are too common to tell where they come from.
@@ -77,7 +77,7 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, list[str]]]]:
 
 def _hashes(strings: list[str]) -> np.ndarray:
     b = Bytes.of(pa.array(strings, pa.large_string()))
-    return Bytes.span(b.prefix(b.raw), b.off[:-1], b.off[1:]).view(np.int64)
+    return spans(b.raw, b.off[:-1], b.off[1:]).view(np.int64)
 
 
 _PARSED = "pid long, conv_id long, turn long, role string, own string, at long, last_turn long, own_hashes array<long>, passages array<int>, levels array<int>, sizes array<int>, quoted array<long>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from chronoloom.llm.textops import LEAD, SPACE, Bytes, Words, slices
+from chronoloom.llm.textops import LEAD, SPACE, Bytes, Words, slices, spans
 
 NAMES = (
     "log_words", "chars_per_word", "symbol_share", "upper_share", "digit_share", "bang_share", "pipe_share", "point_share",
@@ -54,7 +54,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
         inked = np.concatenate([[0], np.cumsum(~SPACE[b.raw])])
         has = inked[ends] > inked[starts]
         lines = np.bincount(doc[has], minlength=n)
-        distinct_lines = _distinct(Bytes.span(b.prefix(b.raw), starts[has], ends[has]), doc[has], n)
+        distinct_lines = _distinct(spans(b.raw, starts[has], ends[has]), doc[has], n)
 
         found.append(
             np.stack(

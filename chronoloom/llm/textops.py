@@ -2,14 +2,19 @@
 
 All functions work on the UTF-8 bytes of a slice of texts at once. Words are
 runs of bytes outside ``[\\x20\\x09-\\x0D]``; every such byte is ASCII, so byte
-runs are code point runs. Hashes are 64-bit: a polynomial over a fixed random
-byte table, finished with a bijective mixer, so they need no Python loop.
+runs are code point runs. Hashes are 64-bit: eight bytes at a time are mixed into
+a span's state by a bijection that all its bits go through, all spans together, so
+a span costs as many steps as it has eight bytes, and no Python loop over bytes.
+
+A text is a slice of its own if it is longer than ``SLICE_BYTES``; what is made of
+it on the way takes some ten times its bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +23,10 @@ import pyarrow as pa
 SLICE_BYTES = 400_000
 
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_ODD[63])
-_BASE_INV = pow(_BASE, -1, 2**64)
+#: Spans longer than this are hashed one by one.
+LONG_SPAN = 4096
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -31,21 +36,6 @@ LOWER[0x41:0x5B] += 32
 LEAD = np.ones(256, bool)
 LEAD[0x80:0xC0] = False
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** (0 .. n) modulo 2**64, kept and grown by doubling."""
-    have = _powers.get(base)
-    if have is None or len(have) <= n:
-        size = 1 << max(19, int(n + 1).bit_length())
-        have = np.ones(1, np.uint64)
-        while len(have) < size:
-            have = np.concatenate([have, have * np.uint64(pow(base, len(have), 2**64))])
-        _powers[base] = have
-    return have
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers whose output bits depend on all input bits."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -53,6 +43,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans ``raw[starts[i]:ends[i]]``; equal spans have equal hashes wherever they stand."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    # the eight bytes that begin at each byte
+    eights = np.ndarray(len(raw) + 1, "<u8", padded.data, strides=(1,))
+    size = ends - starts
+    out = mix((size.astype(np.uint64) + np.uint64(1)) * _ODD[62])
+    long = np.flatnonzero(size > LONG_SPAN)
+    open_ = np.flatnonzero(size <= LONG_SPAN) if len(long) else np.arange(len(size))
+    at, left = starts[open_], size[open_]
+    while len(open_):
+        out[open_] = mix(out[open_] ^ (eights[at] & _HEAD[np.minimum(left, 8)])) * _ODD[63]
+        on = left > 8
+        open_, at, left = open_[on], at[on] + 8, left[on] - 8
+    for i in long.tolist():
+        out[i] = int.from_bytes(blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, slice) so that a slice has ``limit`` bytes at most, or one row."""
     if isinstance(texts, pa.ChunkedArray):
@@ -98,17 +107,6 @@ class Bytes:
         ends = np.flatnonzero(inside & after) + 1
         return starts, ends, np.searchsorted(self.off, starts, "right") - 1
 
-    def prefix(self, raw: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * _power(_BASE, len(raw))[: len(raw)], out=out[1:])
-        return out
-
-    @staticmethod
-    def span(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of byte spans; equal spans have equal hashes wherever they stand."""
-        inverse = _power(_BASE_INV, len(prefix))
-        return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-
 
 @dataclass
 class Words:
@@ -123,7 +121,7 @@ class Words:
     @classmethod
     def of(cls, b: Bytes, lower: bool) -> Words:
         starts, ends, doc = b.runs(~SPACE[b.raw])
-        hashes = Bytes.span(b.prefix(LOWER[b.raw] if lower else b.raw), starts, ends)
+        hashes = spans(LOWER[b.raw] if lower else b.raw, starts, ends)
         return cls(hashes, doc, np.searchsorted(doc, np.arange(len(b.off))), starts, ends)
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
