@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -64,11 +65,16 @@ def paired_summary(d: DataFrame) -> DataFrame:
     return d.agg(F.count("d").alias("n_pairs"), (F.exp(F.avg("d")) - 1).alias("rel_delta"), F.avg((F.col("d") < 0).cast("double")).alias("win_rate"))
 
 
+#: Weights made at a time.
+PART = 1_000_000
+
+
 def bootstrap(d: DataFrame, order: Sequence[str], resamples: int = 10_000, seed: int = 42, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
     """Percentile interval of the mean log ratio by resampling, as relative change, for each group.
 
     Rows are taken in ``order`` and drawn by numpy's generator, so results repeat exactly. A
-    group is one comparison, a row for each task, and fits into memory; for log ratios without
+    group is one comparison, a row for each task, and takes resamples * rows * 16 bytes in one task
+    (47 MB for 291 rows); for log ratios without
     such a bound there is ``poisson_bootstrap``.
     """
     low, high = 50 * (1 - level), 50 * (1 + level)
@@ -89,19 +95,31 @@ def bootstrap(d: DataFrame, order: Sequence[str], resamples: int = 10_000, seed:
 def poisson_bootstrap(d: DataFrame, key: Sequence[str], resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """The same interval without gathering rows: each row draws a Poisson(1) weight for every resample.
 
-    Partitions send one sum and one count for each resample, whatever their size.
+    Weights are made of the key's hash and the resample's number, all of a batch at once, so they
+    depend on no partitioning. Partitions send one sum and one count for each resample, whatever
+    their size; a batch takes ``PART`` weights of eight bytes at a time.
     """
+    bounds = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+    odd = np.uint64(0x9E3779B97F4A7C15)
+
+    def mixed(h: np.ndarray) -> np.ndarray:
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        return h ^ (h >> np.uint64(31))
 
     def weigh(batches):
         total, count = np.zeros(resamples), np.zeros(resamples)
+        of = mixed(np.arange(1, resamples + 1, dtype=np.uint64) * odd + np.uint64(seed))
         for batch in batches:
-            for h, x in zip(batch["h"], batch["d"], strict=True):
-                w = np.random.default_rng([seed, int(h) & 0xFFFFFFFFFFFFFFFF]).poisson(1.0, resamples)
-                total += w * x
-                count += w
+            h, x = batch["h"].to_numpy().view(np.uint64), batch["d"].to_numpy(float)
+            for a in range(0, len(h), max(1, PART // resamples)):
+                b = a + max(1, PART // resamples)
+                w = np.searchsorted(bounds, mixed(h[a:b, None] ^ of[None]) / 2.0**64, "right").astype(float)
+                total += x[a:b] @ w
+                count += w.sum(0)
         yield pd.DataFrame({"r": np.arange(resamples), "s": total, "n": count})
 
-    sums = d.select(F.xxhash64(*key).alias("h"), "d").mapInPandas(weigh, "r long, s double, n double").groupBy("r").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    sums = d.where("d IS NOT NULL").select(F.xxhash64(*key).alias("h"), "d").mapInPandas(weigh, "r long, s double, n double").groupBy("r").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     means = sums.select(F.try_divide("s", "n").alias("m"))
     return means.agg((F.exp(F.percentile("m", (1 - level) / 2)) - 1).alias("ci_low"), (F.exp(F.percentile("m", (1 + level) / 2)) - 1).alias("ci_high"), F.avg((F.col("m") < 0).cast("double")).alias("p_a_better"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoloom.operators.relational import prefix_sums
 from chronoloom.schema import finite
 
 _TERMS = 100
@@ -22,13 +23,15 @@ def kolmogorov_tail(lam: Column, terms: int = _TERMS) -> Column:
 def ks_tests(rows: DataFrame, value: str, sample: str, by: Sequence[str] = ("feature",)) -> DataFrame:
     """Per group: D and p of the samples False and True of ``sample`` over finite values; D NULL and p 1 if one is empty.
 
-    Values are counted before they are ranked, so the window sorts distinct values; ties share
-    a step of both distributions. With ``by`` the features, a task ranks one feature.
+    Values are counted before they are ranked, so what is ranked are distinct values, range by range
+    of each group (``prefix_sum``); ties share a step of both distributions.
     """
-    counts = rows.select(*by, F.col(sample).alias("_s"), finite(F.col(value).cast("double")).alias("_v")).groupBy(*by, "_v").agg(F.sum(F.when(F.col("_v").isNotNull() & ~F.col("_s"), 1).otherwise(0)).alias("_a"), F.sum(F.when(F.col("_v").isNotNull() & F.col("_s"), 1).otherwise(0)).alias("_b"))
-    w = W.partitionBy(*by)
-    up = w.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    steps = counts.select(*by, F.sum("_a").over(up).alias("ca"), F.sum("_b").over(up).alias("cb"), F.sum("_a").over(w).alias("na"), F.sum("_b").over(w).alias("nb"))
+    own = rows.select(*by, F.col(sample).alias("_s"), finite(F.col(value).cast("double")).alias("_v"))
+    counts = own.groupBy(*by, "_v").agg(F.sum(F.when(F.col("_v").isNotNull() & ~F.col("_s"), 1).otherwise(0)).alias("_a"), F.sum(F.when(F.col("_v").isNotNull() & F.col("_s"), 1).otherwise(0)).alias("_b"))
+    totals = counts.groupBy(*by).agg(F.sum("_a").alias("na"), F.sum("_b").alias("nb")).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(by)})
+    up = prefix_sums(counts.where("_v IS NOT NULL"), "_v", {"_ua": F.col("_a"), "_ub": F.col("_b")}, by)
+    steps = totals.join(up.select(*by, (F.col("_ua") + F.col("_a")).alias("ca"), (F.col("_ub") + F.col("_b")).alias("cb")), [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)], "left")
+    steps = steps.drop(*by).withColumnsRenamed({f"_k{i}": k for i, k in enumerate(by)})
     gap = F.abs(F.try_divide("ca", "na") - F.try_divide("cb", "nb"))
     out = steps.groupBy(*by).agg(F.max("na").alias("n_a"), F.max("nb").alias("n_b"), F.max(gap).alias("d"))
     n = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))

@@ -78,24 +78,37 @@ def running_offset(df: DataFrame, order: Sequence[str], count: str, name: str =
 
 
 def prefix_sum(df: DataFrame, order: str, value: Column, name: str, by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
-    """Sum of ``value`` over the rows before in the order of a numeric column, for tables of any size.
+    """Sum of ``value`` over the rows before in the order of a numeric column, for tables of any size."""
+    return prefix_sums(df, order, {name: value}, by, buckets)
 
-    Rows are cut into ranges of the column by approximate quantiles. A task sums along one range
-    (of one group), the ranges' totals are summed in a table of one row for each, and no task
-    sees a group or the table as a whole. Equal values of the column are not split.
+
+def prefix_sums(df: DataFrame, order: str, values: Mapping[str, Column], by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+    """The same for several values at once.
+
+    Rows are cut into ranges of the column by approximate quantiles, of each group where there
+    are groups. A task sums along one range of one group, the ranges' totals are summed in a
+    table of one row for each, and no task sees a group or the table as a whole. Equal values of
+    the column are not split.
     """
-    cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("c")).first()["c"]
-    edges = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<double>")
-    rows = df.withColumn("_bucket", F.size(F.filter(edges, lambda c: c < F.col(order)))).withColumn("_value", value)
+    edges = F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10 * buckets)
+    at = F.size(F.filter(F.array_distinct(F.coalesce("_edges", F.array())), lambda c: c < F.col(order)))
+    if by:
+        # a row for each group
+        cuts = df.groupBy(*by).agg(edges.alias("_edges")).withColumnsRenamed({k: f"_g{i}" for i, k in enumerate(by)})
+        rows = df.join(cuts, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(by)]).drop(*[f"_g{i}" for i in range(len(by))])
+    else:
+        rows = df.crossJoin(F.broadcast(df.agg(edges.alias("_edges"))))  # one row
+    names = list(values)
+    rows = rows.withColumn("_bucket", at).drop("_edges").withColumns({f"_value{i}": values[n] for i, n in enumerate(names)})
     keys = [*by, "_bucket"]
-    totals = rows.groupBy(*keys).agg(F.sum("_value").alias("_total"))
+    totals = rows.groupBy(*keys).agg(*[F.sum(f"_value{i}").alias(f"_total{i}") for i in range(len(names))])
     before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.coalesce(F.sum(f"_total{i}").over(before), F.lit(0)).alias(f"_before{i}") for i in range(len(names))])
     inside = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    out = rows.join(totals, same).withColumn(name, F.col("_before") + F.col("_inside"))
-    return out.drop("_bucket", "_value", "_before", "_inside", *[f"_k{i}" for i in range(len(keys))])
+    rows = rows.withColumns({f"_inside{i}": F.coalesce(F.sum(f"_value{i}").over(inside), F.lit(0)) for i in range(len(names))})
+    out = rows.join(totals, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    out = out.withColumns({n: F.col(f"_before{i}") + F.col(f"_inside{i}") for i, n in enumerate(names)})
+    return out.drop("_bucket", *[f"_k{i}" for i in range(len(keys))], *[f"{c}{i}" for c in ("_value", "_before", "_inside") for i in range(len(names))])
 
 
 def rank_when_known(by: Sequence[str], value: str) -> Column:

@@ -6,13 +6,15 @@ engine with md5 repeats them.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoloom.functions.numeric import stable_hash, stable_uniform
 from chronoloom.operators.relational import prefix_sum
@@ -22,6 +24,8 @@ LENGTH, MOST_WINDOWS = 1024, 8
 FLOOR, SHARE_CAP, ROUNDS = 10_000, 0.5, 10
 OVERSAMPLE, LEAST_PAST, MOST_MISSING = 3, 60, 0.9
 TOKENS, TOKEN_LIMIT = 4096, 15.0
+#: Bins whose room is packed in one go.
+SHARE_BINS = 64
 
 
 def fixed_size_sample(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
@@ -37,14 +41,14 @@ def random_halves(df: DataFrame, key: Sequence[str], seed: int = 0, name: str =
     return ranked.withColumn(name, F.when(F.col("_rank") < (n + 1) // 2, F.lit(1)).otherwise(F.lit(2)).cast("long")).drop("_h", "_rank")
 
 
-def evenly_spaced(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """Up to n rows at even distances in the order, first and last included; for indexes, which one task can order."""
-    numbered = df.select("*", (F.row_number().over(W.orderBy(*order)) - 1).alias("_i"), F.count(F.lit(1)).over(W.partitionBy()).alias("_n"))
-    step = F.greatest(F.lit(1), F.lit(n - 1))
+def evenly_spaced(df: DataFrame, order: str, n: int) -> DataFrame:
+    """Up to n rows at even distances in the order of a numeric column, first and last included."""
+    total, step = df.count(), max(1, n - 1)
+    numbered = prefix_sum(df, order, F.lit(1), "_i")
     # row i is the k-th pick if i = floor(k * (rows - 1) / (n - 1)) for some k
-    k = F.ceil(F.col("_i") * step / F.greatest(F.lit(1), F.col("_n") - 1))
-    hit = (F.floor(k * (F.col("_n") - 1) / step) == F.col("_i")) & (k <= step) | (F.col("_n") <= n)
-    return numbered.where(hit).drop("_i", "_n")
+    k = F.ceil(F.col("_i") * step / max(1, total - 1))
+    hit = (F.floor(k * (total - 1) / step) == F.col("_i")) & (k <= step) if total > n else F.lit(True)
+    return numbered.where(hit).drop("_i")
 
 
 def drawn_rows(df: DataFrame, index: str, n_draws: int, total: int, seed: int = 0) -> DataFrame:
@@ -218,7 +222,30 @@ def tokens(df: DataFrame, target: str = "target", n: int = TOKENS, limit: float
     return scaled.withColumn("tokens", F.transform(target, bin_))
 
 
-def packed(df: DataFrame, length: str, order: str, room: int) -> DataFrame:
-    """``bin`` and ``position`` of sequences laid end to end and cut into bins of ``room``: no bin is overfull by more than one sequence."""
-    laid = prefix_sum(df, order, F.col(length), "_laid")
-    return laid.withColumn("bin", F.floor(F.col("_laid") / room)).withColumn("position", F.col("_laid") - F.col("bin") * room).drop("_laid")
+def packed(df: DataFrame, length: str, order: str, room: int, share: int = SHARE_BINS) -> DataFrame:
+    """``bin`` and ``position`` of sequences packed in order into bins of ``room``; none is overfull.
+
+    Sequences are dealt into shares of ``share`` bins' room by the sums of the lengths before, and each
+    share is packed on its own: a sequence goes into the last bin if it fits there, else into a new one.
+    A sequence longer than a bin has one of its own, the only kind that is overfull. Bins of a share
+    follow each other, ``bin`` is 4 * share * (number of the share) + the bin's number in it.
+    """
+    laid = prefix_sum(df, order, F.col(length), "_laid").withColumn("_share", F.floor(F.col("_laid") / (room * share)).cast("long")).drop("_laid")
+    names = [c for c in laid.columns if c != "_share"]
+    schema = T.StructType([laid.schema[c] for c in names] + [T.StructField("bin", T.LongType()), T.StructField("position", T.LongType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at, used = None, 0, 0
+        for batch in batches:
+            bins, places = [], []
+            for k, n in zip(batch.column("_share").to_pylist(), batch.column(length).to_pylist(), strict=True):
+                if k != own:
+                    own, at, used = k, 0, 0
+                elif used + n > room:
+                    at, used = at + 1, 0
+                bins.append(4 * share * k + at)
+                places.append(used)
+                used += n
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(bins, pa.int64()), pa.array(places, pa.int64())], names=[*names, "bin", "position"])
+
+    return laid.repartition("_share").sortWithinPartitions("_share", order).mapInArrow(pack, schema)

@@ -147,5 +147,11 @@ def interpolated(df: DataFrame, value: str, at: str, by: Sequence[str]) -> DataF
 
 
 def duplicates(df: DataFrame, item: str, target: str = "target") -> DataFrame:
-    """Series that occur more than once: their number and smallest item."""
-    return df.groupBy(F.xxhash64(target).alias("hash"), F.size(target).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.min(item).alias("first_item")).where("n > 1")
+    """Series whose values occur more than once: their number and smallest item."""
+    return df.groupBy(target).agg(F.xxhash64(F.first(target)).alias("hash"), F.size(F.first(target)).alias("length"), F.count(F.lit(1)).alias("n"), F.min(item).alias("first_item")).where("n > 1").drop(target)
+
+
+def length_summary(df: DataFrame, by: Sequence[str], target: str = "target") -> DataFrame:
+    """Per dataset: series, and the least, greatest and summed length."""
+    n = F.size(target).cast("long")
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_series"), F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.sum(n).alias("total_length"))

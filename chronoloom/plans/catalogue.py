@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from chronoloom.plans import features, generators, relational, sampling, series
+from chronoloom.plans import features, files, generators, relational, sampling, series
 
-MODULES = (relational, series, sampling, features, generators)
+MODULES = (relational, series, sampling, features, generators, files)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}

@@ -134,7 +134,7 @@ def frechet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def coverage_null_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.null_baseline(clouds(spark, sf_dir)[0], splits=2)
+    return coverage.null_baseline(clouds(spark, sf_dir)[0])
 
 
 @query("SELECT a.j AS i, b.j, round(covar_samp(e.embedding[a.j + 1], e.embedding[b.j + 1]), 7) AS cov FROM embeddings e, (SELECT unnest(range(0, 64)) AS j) a, (SELECT unnest(range(0, 64)) AS j) b WHERE a.j <= b.j AND label < 4 GROUP BY a.j, b.j")

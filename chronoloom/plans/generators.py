@@ -17,8 +17,7 @@ def synth(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synth_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [n for n in generators.FAMILIES if n != "kernelsynth"]
-    return generators.summary(generators.corpora(spark, names, (42, 43), 16, LENGTH))
+    return generators.summary(generators.corpora(spark, None, (42, 43), 16, LENGTH))
 
 
 QUERIES = {f"synth_{name}": partial(synth, name) for name in generators.FAMILIES} | {"synth_summary": synth_summary}

@@ -69,7 +69,7 @@ def random_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH n AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part), k AS (SELECT unnest(range(0, 20)) AS k)
 SELECT p_partkey FROM n JOIN k ON i = (k * (n - 1)) // 19""")
 def probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.evenly_spaced(table(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"], 20)
+    return sampling.evenly_spaced(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 20)
 
 
 @query(f"SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT {hashed('id', '3')} % (SELECT count(*) FROM customer) FROM (SELECT unnest(range(0, 200)) AS id))")
@@ -100,7 +100,15 @@ def accepted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.accepted(p.select(F.col("p_brand").alias("dataset"), F.col("p_partkey").alias("item_id"), F.lit(0).alias("window_index")), a)
 
 
-@query()
+@query(f"""WITH w AS (SELECT p_brand AS dataset, p_partkey AS item_id FROM part), a AS (SELECT p_brand AS name, 9 AS c, count(*) AS supply FROM part GROUP BY p_brand),
+h AS (SELECT w.*, c, supply, {hashed('dataset', 'item_id', '0', '0')} / 1152921504606846976.0::DOUBLE AS u, {hashed('dataset', 'item_id', '0', '1')} AS h FROM w JOIN a ON dataset = name),
+r AS (SELECT *, u <= 1 * c / supply AS near, row_number() OVER (PARTITION BY dataset, u <= 1 * c / supply ORDER BY u, item_id) AS rn FROM h), t AS (SELECT *, near AND rn <= c AS taken FROM r),
+n AS (SELECT *, c - count(*) FILTER (taken) OVER (PARTITION BY dataset) AS need, row_number() OVER (PARTITION BY dataset, taken ORDER BY h, item_id) AS rest FROM t),
+f AS (SELECT *, CASE WHEN taken THEN 0 WHEN rest <= need THEN 1 END AS pass FROM n),
+s AS (SELECT *, row_number() OVER (PARTITION BY pass IS NULL ORDER BY h, dataset, item_id) AS second, (SELECT 9 * count(*) FROM a) - count(*) FILTER (pass IS NOT NULL) OVER () AS missing FROM f),
+g AS (SELECT dataset, coalesce(pass, CASE WHEN second <= missing THEN 2 END) AS pass FROM s),
+d AS (SELECT name AS dataset, 9 AS allocated, (SELECT count(*) FROM g WHERE g.dataset = name AND pass IS NOT NULL) AS collected, (SELECT count(*) FROM g WHERE g.dataset = name AND pass > 0) AS backfilled FROM a)
+SELECT dataset, sum(allocated)::BIGINT AS allocated, sum(collected)::BIGINT AS collected, sum(backfilled)::BIGINT AS backfilled, sum(greatest(0, allocated - collected))::BIGINT AS shortfall FROM d GROUP BY ROLLUP (dataset)""")
 def backfill_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     a = p.groupBy(F.col("p_brand").alias("name")).agg(F.lit(9).alias("count"), F.count(F.lit(1)).alias("supply"))
@@ -109,14 +117,17 @@ def backfill_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.accounting(taken, a)
 
 
-@query("""SELECT item, round(scale, 6) AS scale, array_to_string(list_transform(target[1:50], lambda x: least(4095, greatest(0, floor((x / scale + 15) / 30 * 4096)))::INT), ' ') AS tokens FROM (SELECT item, target, list_avg(list_transform(target, lambda x: abs(x))) AS scale FROM
+@query("""SELECT item, round(scale, 6) AS scale, array_to_string(list_transform(target, lambda x: least(4095, greatest(0, floor((x / scale + 15) / 30 * 4096)))::INT), ' ') AS tokens FROM (SELECT item, target, list_avg(list_transform(target, lambda x: abs(x))) AS scale FROM
   (SELECT item, list(y ORDER BY day) AS target FROM (SELECT o_orderpriority AS item, o_orderdate::DATE AS day, round(sum(o_totalprice), 2) AS y FROM orders GROUP BY ALL) GROUP BY item)) WHERE len(target) >= 60""")
 def token_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sampling.tokens(sampling.long_enough(as_arrays(daily(spark, sf_dir))))
-    return rows.select("item", F.round("scale", 6).alias("scale"), F.array_join(F.slice("tokens", 1, 50).cast("array<string>"), " ").alias("tokens"))
+    return rows.select("item", F.round("scale", 6).alias("scale"), F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"))
 
 
-@query("SELECT doc_id, ((sum(n_chars) OVER w - n_chars) // 5000)::BIGINT AS bin, ((sum(n_chars) OVER w - n_chars) % 5000)::BIGINT AS position FROM documents WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)")
+@query("""WITH RECURSIVE d AS (SELECT doc_id, n_chars, (sum(n_chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n_chars) // (5000 * 64) AS share FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY share ORDER BY doc_id) AS rn FROM d),
+p AS (SELECT share, rn, doc_id, 0 AS b, 0 AS pos, n_chars AS used FROM n WHERE rn = 1
+  UNION ALL SELECT n.share, n.rn, n.doc_id, p.b + (p.used + n.n_chars > 5000)::INT, CASE WHEN p.used + n.n_chars > 5000 THEN 0 ELSE p.used END, CASE WHEN p.used + n.n_chars > 5000 THEN 0 ELSE p.used END + n.n_chars FROM p JOIN n ON n.share = p.share AND n.rn = p.rn + 1)
+SELECT doc_id, (256 * share + b)::BIGINT AS bin, pos::BIGINT AS position FROM p""")
 def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sampling.packed(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 5000)
-    return rows.select("doc_id", F.col("bin").cast("long"), F.col("position").cast("long"))
+    return sampling.packed(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 5000).select("doc_id", "bin", "position")

@@ -110,14 +110,14 @@ def multivariate_to_univariate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ARRAYS}, g AS (SELECT item, list_transform(target, lambda x: CASE WHEN x > 150000 THEN x END) AS t FROM a),
 k AS (SELECT item, t, coalesce(list_max(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i] IS NOT NULL THEN i ELSE 0 END)), 0) AS last_ FROM g)
-SELECT item, last_::BIGINT AS valid_length, 2600::BIGINT AS padded, t[last_] AS last_value, list_sum(list_transform(range(8, 15), lambda i: t[i] - t[i - 7])) AS seven FROM k""")
+SELECT item, last_::BIGINT AS valid_length, 2600::BIGINT AS padded, t[last_] AS last_value, round(list_sum(list_transform(range(8, len(t) + 1), lambda i: t[i] - t[i - 7])), 2) AS seven FROM k""")
 def trim_and_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = as_arrays(daily(spark, sf_dir)).withColumn("t", F.transform("target", lambda x: F.when(x > 150000, x)))
     trimmed = arrays.trim_trailing_nulls(F.col("t"))
     # a sum of differences: DuckDB's list_sum skips NULL and is NULL without any value
-    seven = F.filter(arrays.differences(F.slice("t", 1, 14), 7), lambda x: x.isNotNull())
+    seven = F.filter(arrays.differences(F.col("t"), 7), lambda x: x.isNotNull())
     total = F.when(F.size(seven) > 0, F.aggregate(seven, F.lit(0.0), lambda s, x: s + x))
-    return a.select("item", F.size(trimmed).cast("long").alias("valid_length"), F.size(arrays.pad_right(trimmed, 2600)).cast("long").alias("padded"), F.try_element_at(trimmed, F.lit(-1)).alias("last_value"), total.alias("seven"))
+    return a.select("item", F.size(trimmed).cast("long").alias("valid_length"), F.size(arrays.pad_right(trimmed, 2600)).cast("long").alias("padded"), F.try_element_at(trimmed, F.lit(-1)).alias("last_value"), F.round(total, 2).alias("seven"))
 
 
 @query(f"""WITH {DAILY}, u AS (SELECT item, day, y FROM daily UNION ALL SELECT item || '_copy', day, y FROM daily WHERE item < '3'), a AS (SELECT item, list(y ORDER BY day) AS target FROM u GROUP BY item)
@@ -221,3 +221,28 @@ def stream_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{root}/out").withColumn("total", F.round("total", 6))
 
 
+
+
+@query("""WITH s AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, count(*) AS n_series, min(n)::BIGINT AS min_length, max(n)::BIGINT AS max_length, sum(n)::BIGINT AS total_length FROM s GROUP BY event_type""")
+def length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "value"))), lambda x: x["value"]).alias("target"))
+    return series.length_summary(e, ["event_type"])
+
+
+@query(f"""WITH {ARRAYS}, g AS (SELECT item, list_transform(target, lambda x: CASE WHEN x > 150000 THEN x END) AS t FROM a), k AS (SELECT item, t, list_max(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i] IS NOT NULL THEN i ELSE 0 END)) AS n FROM g),
+u AS (SELECT item, n, i, t[i] AS y FROM k, (SELECT unnest(range(1, 4000)) AS i) WHERE i <= n AND n >= 128),
+f AS (SELECT item, n, i, coalesce(last_value(y IGNORE NULLS) OVER (PARTITION BY item ORDER BY i ROWS UNBOUNDED PRECEDING), first_value(y IGNORE NULLS) OVER (PARTITION BY item ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS y FROM u)
+SELECT item, n::BIGINT AS valid_length, (i - 1)::BIGINT AS pos, y FROM f""")
+def clean_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = as_arrays(daily(spark, sf_dir)).withColumn("target", F.transform("target", lambda x: F.when(x > 150000, x)))
+    return series.clean_windows(a).select("item", F.col("valid_length").cast("long").alias("valid_length"), F.posexplode("target").alias("pos", "y")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("""WITH e AS (SELECT event_type AS g, event_id, CASE WHEN event_id % 3 > 0 THEN value END AS y, value + event_id % 5 - 2 AS f FROM events)
+SELECT g, round(avg(abs(y - f)), 6) AS mae, round(sum(abs(y - f)) / sum(abs(y)), 6) AS nd, round(avg((y - f) ** 2), 6) AS mse FROM e WHERE y IS NOT NULL GROUP BY g""")
+def missing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that are missing count in no metric."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_type").alias("g"), F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("y"), (F.col("value") + F.col("event_id") % 5 - 2).alias("f"))
+    out = forecast.point_metrics(rows, ["g"], scale=None)
+    return out.select("g", *[F.round(c, 6).alias(c) for c in ("mae", "nd", "mse")])

@@ -112,7 +112,9 @@ def results(spark: SparkSession, root: str) -> DataFrame:
     simply not found.
     """
     raw = spark.read.option("header", True).option("nanValue", "NaN").schema(RESULTS).csv(f"{root}/*/seed_*/*/all_results.csv")
-    part = lambda i: F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/seed_(\d+)/([^/]+)/all_results\.csv$", i)
+    # paths are given as URIs
+    at = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    part = lambda i: F.regexp_extract(at, r"/([^/]+)/seed_(\d+)/([^/]+)/all_results\.csv(?:/[^/]+)?$", i)
     tagged = raw.withColumns({"model_family": part(1), "seed": part(2).cast("int"), "_c": part(3)}).drop("model")
     names = F.create_map(*[F.lit(x) for kv in CONDITION_ALIASES.items() for x in kv])
     return nulls_for_nan(tagged.withColumn("condition", F.coalesce(names[F.col("_c")], F.col("_c"))).drop("_c"))

@@ -42,7 +42,7 @@ def test_equals_duckdb(spark, sf_dir, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL) - {"synth_kernelsynth"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_others_run(spark, sf_dir, name):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
 

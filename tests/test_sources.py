@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -120,3 +123,82 @@ def test_stream_dedup(spark, sf_dir, tmp_path):
     events = windows.parquet_stream(spark, sf_dir, "events.parquet")
     windows.run_available(windows.deduplicated(events, ["user_id"], "ts", "40 days"), str(tmp_path / "o"), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "o")).count() == spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
+
+def test_given_draws_make_the_published_recursions():
+    """Batches against plain loops over one series, from the same draws."""
+    n = 40
+    rngs = [np.random.default_rng([7, i]) for i in range(30)]
+    draws = [generators._draw_arima(r, n) for r in rngs]
+    got = generators.arima({k: np.array([d[k] for d in draws]) for k in draws[0]}, n)
+    seen = set()
+    for x, y in zip(draws, got):
+        z, total = [], len(x["noise"])
+        for t in range(total):
+            e = x["noise"][t] + sum(c * x["noise"][t - j - 1] for j, c in enumerate(x["ma"]) if t > j)
+            z.append(e + sum(c * z[t - j - 1] for j, c in enumerate(x["ar"]) if t > j))
+        m = x["m"]
+        if m:
+            seen |= {("sar", bool(x["sar"][0])), ("sma", bool(x["sma"][0])), ("sd", x["sd"])}
+            for t in range(m, total):
+                z[t] += x["sar"][0] * z[t - m]
+            z = [v + (x["sma"][0] * x["seasonal_noise"][t - m] if t >= m else 0) for t, v in enumerate(z)]
+            z = [v - z[t - m] if t >= m else 0.0 for t, v in enumerate(z)] if x["sd"] else z
+        for _ in range(x["d"]):
+            z = list(itertools.accumulate(z))
+        assert np.allclose(z[-n:], y)
+    assert seen == {(k, v) for k in ("sar", "sma", "sd") for v in (False, True)}
+
+
+def test_steps_pass_into_each_other():
+    r = np.random.default_rng(3)
+    for kind in range(60):
+        n = int(r.integers(3, 9))
+        bounds = np.sort(r.choice(np.arange(1, 99), n - 1, replace=False))
+        bounds, levels = np.concatenate([[0], bounds]), r.normal(size=n)
+        widths, steep = (None if kind % 3 == 0 else r.integers(3, 12, n - 1)), (r.uniform(5, 15, n - 1) if kind % 3 == 2 else None)
+        want = [levels[max(i for i in range(n) if bounds[i] <= t)] for t in range(100)]
+        for i in range(n - 1) if widths is not None else ():
+            lo, hi = max(0, bounds[i + 1] - widths[i] // 2), min(100, bounds[i + 1] + widths[i] // 2)
+            for t in range(lo, hi if hi - lo > 1 else lo):
+                u = (t - lo) / (hi - 1 - lo)
+                want[t] = levels[i] + (levels[i + 1] - levels[i]) * (u if steep is None else 1 / (1 + math.exp(-steep[i] * (u - 0.5))))
+        assert np.allclose(generators.stepped(bounds, levels, 100, widths, steep), want)
+
+
+def test_mean_functions_and_waves_are_what_they_say():
+    r = np.random.default_rng(4)
+    t = np.linspace(0, 1, 11)
+    z = r.normal(size=11)
+    made = {k: f((0.5, 2.0, 0.25)[: len(ranges)], t, z) for k, (ranges, f) in generators.MEANS.items()}
+    assert np.allclose(made["linear"], 0.5 * t + 2) and np.allclose(made["quadratic"], 0.5 * t**2 + 2 * t + 0.25)
+    assert np.allclose(made["sinusoidal"], 0.5 * np.cos(2 * np.pi * 2 * t)) and np.allclose(made["log_linear"], 0.5 * np.log(1 + 2 * t) + 0.25)
+    assert np.allclose(made["random_walk"], 0.5 * np.cumsum(z))
+    zero = [not generators.mean_function(np.random.default_rng(i), 9).any() for i in range(400)]
+    assert 0.4 < np.mean(zero) < 0.6
+    x = {k: np.array([v]) for k, v in {"kind": [0, 1, 2], "freq": [1.0, 1.0, 1.0], "amp": [1.0, 2.0, 3.0], "phase": [0.0, 0.0, 0.0], "duty": [0.5, 0.25, 0.5], "falls": [0.0, 0.0, 0.0]}.items()}
+    x |= {"beat": np.zeros(1), "noise": np.zeros((1, 8)), "slope": np.ones(1)}
+    saw, square, triangle = [2 * k / 8 - 1 for k in range(8)], [2 if k < 2 else -2 for k in range(8)], [3 - 12 * abs(k / 8 - 0.5) for k in range(8)]
+    assert np.allclose(generators.waveform(x, 8)[0], [a + b + c + k / 8 for k, (a, b, c) in enumerate(zip(saw, square, triangle))])
+
+
+def test_kernels_against_their_formulas_and_sums_of_compositions():
+    n = 12
+    t = [i / (n - 1) for i in range(n)]
+    want = {
+        "rbf": lambda a, b, v: math.exp(-0.5 * ((a - b) / v) ** 2), "dot": lambda a, b, v: v * v + a * b, "rational": lambda a, b, v: (1 + (a - b) ** 2 / (2 * v)) ** -v,
+        "periodic": lambda a, b, v: math.exp(-2 * math.sin(math.pi * abs(a - b) * n / v) ** 2), "white": lambda a, b, v: v * (a == b), "matern12": lambda a, b, v: math.exp(-abs(a - b) / v),
+    }
+    for kind, f in want.items():
+        assert np.allclose(generators.kernel_matrix(kind, 0.7, n), [[f(a, b, 0.7) for b in t] for a in t]), kind
+    z = np.random.default_rng(1).normal(size=(4000, n))
+    k = next(i for i, (kind, _) in enumerate(generators.KERNELS) if kind == "rbf")
+    x = {"kernels": np.tile([k, k, -1, -1, -1], (4000, 1)), "added": np.tile([True, False, True, True, True], (4000, 1)), "z": z, "mean": np.zeros((4000, n))}
+    cov = generators.kernel_matrix(*generators.KERNELS[k], n) ** 2
+    assert np.abs(np.cov(generators.kernelsynth(x, n).T) - cov).max() < 0.15
+
+
+def test_composition_models():
+    a, b, c = (np.array([[v, 2 * v]]) for v in (1.0, 3.0, 5.0))
+    models = [a + b + c, (a + b) * (1 + 0.1 * c), (a + c) * (1 + 0.1 * b), (b + c) * (1 + 0.1 * a), a * (1 + 0.1 * b) + c, a * (1 + 0.1 * c) + b, b * (1 + 0.1 * c) + a, a * (1 + 0.1 * b) * (1 + 0.1 * c)]
+    for k, m in enumerate(models):
+        assert np.allclose(generators.tsi({"trend": a, "season": b, "noise": c, "model": np.array([k])}, 2), m)
