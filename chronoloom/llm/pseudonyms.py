@@ -10,20 +10,28 @@ document, so what was linked stays linked. With the key, ``reveal`` inverts it.
 Kinds and what is permuted:
 
     card     13 to 19 digits with a right Luhn digit: all digits but that one
-    phone    "+", a country code and a number in groups: the number's digits
-    iban     country, right check digits and account: letters and digits of the account
+    phone    "+", a country code and a number in any groups, or a number as it is written
+             in country 1 (ddd-ddd-dddd and the like): the digits after the country code
+    iban     country, right check digits and account, in capitals or without
+             spaces in small letters: letters and digits of the account
     ssn      ddd-dd-dddd with valid area, group and serial: the nine digits
     ip       four octets: the 32-bit address
     date     y-m-d, y/m/d, m/d/y, d/m/y or d.m.y from 1900 to 2099: the day
     email    letters and digits of the local part, each within its class
-    secret   hexadecimal value of a key, token, secret or password: its digits
-
-A date's pseudonym depends on the day alone for y-m-d, y/m/d and d.m.y, so these
+    secret   value of a key, token, secret or password, of 8 characters with a digit at
+             least, or a key of known prefix: hexadecimal digits as such, else letters
+             and digits each within their class
+
+Digits are ASCII digits; numbers in others, IPv6 addresses and national phone numbers
+of other countries are left. A phone number's pseudonym depends on its digits alone,
+so any punctuation of it stays linked; an IBAN's on its characters without spaces and
+case. A date's pseudonym depends on the day alone for y-m-d, y/m/d and d.m.y, so these
 stay linked; months and days come out with two digits. m/d/y is read where both readings are possible, d/m/y only where
 the first number is above 12; either keeps to dates that read the same way.
 
 Defined results: a null text stays null, an empty one empty; rows are handled
-one by one, so repeated rows get equal texts and null ids do no harm; an empty
+one by one, so repeated rows get equal texts and null ids do no harm, and a text of any
+length is read whole; where patterns overlap the one that begins first counts; an empty
 table gives an empty result; other columns pass through, and those that clash
 with a count made here are replaced by it.
 """
@@ -45,15 +53,19 @@ KINDS = ("card", "phone", "iban", "ssn", "ip", "date", "email", "secret")
 ROUNDS = 10
 _FIRST, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
+#: Country codes of two digits; those that begin with 1 or 7 have one, all others three (fixed values).
+_TWO_DIGITS = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
 _PATTERN = re.compile(
     r"""(?P<email>[\w.%+-]*\w@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})
-      |(?P<secret>(?:key|token|secret|password|passwd)["']?\s{0,3}[=:]\s{0,3}["']?[0-9a-fA-F]{16,}\b)
-      |(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w))
-      |(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))
-      |(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
-      |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))
-      |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-      |(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))""",
+      |(?P<secret>(?:key|token|secret|password|passwd)["']?\s{0,3}[=:]\s{0,3}["']?(?:[0-9a-fA-F]{16,}\b|(?=[^\s"']*[0-9])[^\s"']{8,})
+                 |\b(?:[spr]k_(?:live|test)_[0-9A-Za-z]{10,}|gh[pousr]_[0-9A-Za-z]{20,}|AKIA[0-9A-Z]{16})\b)
+      |(?P<phone>(?<![\w+])\+[0-9](?:[ ./-]?\(?[0-9]\)?){6,14}(?!\w)|(?<![\w.+-])(?:\([0-9]{3}\)[ ]?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![\w-]|\.[0-9]))
+      |(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?:(?=T[0-9])|(?![\w/-]|\.[0-9])))
+      |(?P<iban>\b(?:[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}[a-z0-9]{11,30})\b)
+      |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
+      |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
+      |(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))""",
     re.VERBOSE,
 )
 
@@ -103,6 +115,10 @@ def _ssn_valid(x: int) -> bool:
     return 0 < area < 900 and area != 666 and group > 0 and serial > 0
 
 
+#: For each ASCII letter and digit the size of its class and the first of it.
+_CLASSES = {c: (len(of), of[0]) for of in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in of}
+
+
 def _refilled(shape: str, digits: str, skip: int = 0) -> str:
     """``shape`` with its digits after the first ``skip`` replaced in order."""
     out, at = [], 0
@@ -149,11 +165,15 @@ class Pseudonymiser:
         return _refilled(text, body(x) + str(luhn_digit(body(x))))
 
     def _phone(self, text: str, back: bool) -> str | None:
-        country = len(re.match(r"\+(\d{1,3}?)(?=[ .(-])|\+(\d)", text)[0]) - 1
-        digits = re.sub(r"\D", "", text)[country:]
-        if not 7 <= len(digits) <= 14:
+        digits = re.sub(r"\D", "", text)
+        if text[0] == "+":
+            country = 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGITS else 3
+            code, digits = digits[:country], digits[country:]
+        else:
+            country, code = 0, "1"
+        if not 5 <= len(digits) <= 14:
             return None
-        x = self._permuted(f"phone{text[1 : 1 + country]}:{len(digits)}", 10 ** len(digits), int(digits), back)
+        x = self._permuted(f"phone{code}:{len(digits)}", 10 ** len(digits), int(digits), back)
         return _refilled(text, f"{x:0{len(digits)}d}", country)
 
     def _ssn(self, text: str, back: bool) -> str | None:
@@ -188,57 +208,66 @@ class Pseudonymiser:
         return mark.join([*(f"{v:02d}" for v in two), str(d.year)])
 
     def _iban(self, text: str, back: bool) -> str | None:
-        plain = text.replace(" ", "")
+        plain = text.replace(" ", "").upper()
         number = lambda s: int("".join(str(int(c, 36)) for c in s))
         if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
             return None
-        account = plain[4:]
-        x, size = 0, 1
-        for c in account:
-            radix, zero = (10, "0") if c.isdigit() else (26, "A")
-            x, size = x * radix + ord(c) - ord(zero), size * radix
-        shape = "".join("0" if c.isdigit() else "A" for c in account)
-        x = self._permuted(f"iban{plain[:2]}{shape}", size, x, back)
-        new = []
-        for c in reversed(shape):
-            x, d = divmod(x, 10 if c == "0" else 26)
-            new.append(chr(ord(c) + d))
-        account = "".join(reversed(new))
+        account = self._in_classes("iban" + plain[:2], plain[4:], back)
+        if account is None:
+            return None
         chars = iter(plain[:2] + f"{98 - number(account + plain[:2] + '00') % 97:02d}" + account)
-        return "".join(c if c == " " else next(chars) for c in text)
+        return "".join(c if c == " " else next(chars).lower() if c.islower() else next(chars) for c in text)
 
-    def _email(self, text: str, back: bool) -> str | None:
-        local, domain = text.rsplit("@", 1)
-        classes = {**{c: (10, "0") for c in "0123456789"}, **{chr(97 + i): (26, "a") for i in range(26)}, **{chr(65 + i): (26, "A") for i in range(26)}}
+    def _in_classes(self, tweak: str, text: str, back: bool) -> str | None:
+        """``text`` with its ASCII letters and digits permuted, each within its class; None if there are none."""
         x, size, shape = 0, 1, ""
-        for c in local:
-            if c in classes:
-                radix, zero = classes[c]
+        for c in text:
+            if c in _CLASSES:
+                radix, zero = _CLASSES[c]
                 x, size = x * radix + ord(c) - ord(zero), size * radix
                 shape += zero
             else:
                 shape += c
         if size == 1:
             return None
-        x = self._permuted(f"email{shape}@{domain.lower()}", size, x, back)
+        x = self._permuted(tweak + shape, size, x, back)
         out = []
-        for c in reversed(shape):
-            if c in "0aA":
-                x, d = divmod(x, classes[c][0])
+        for i, c in enumerate(reversed(shape)):
+            if text[-1 - i] in _CLASSES:
+                x, d = divmod(x, _CLASSES[c][0])
                 c = chr(ord(c) + d)
             out.append(c)
-        return "".join(reversed(out)) + "@" + domain
+        return "".join(reversed(out))
+
+    def _email(self, text: str, back: bool) -> str | None:
+        local, domain = text.rsplit("@", 1)
+        new = self._in_classes(f"email@{domain.lower()}:", local, back)
+        return None if new is None else f"{new}@{domain}"
 
     def _secret(self, text: str, back: bool) -> str | None:
-        name = re.match(r".*?[=:]\s*[\"']?", text)[0]
+        name = re.match(r"(?:key|token|secret|password|passwd)[\"']?\s*[=:]\s*[\"']?|[a-z]{2}_(?:live_|test_)?|gh[a-z]_|AKIA", text)[0]
         value = text[len(name) :]
-        # letters of one case: mixed case would not come back
-        if value != value.lower() and value != value.upper():
-            return None
-        x = f"{self._permuted(f'secret{len(value)}', 16 ** len(value), int(value, 16), back):0{len(value)}x}"
-        return name + (x.upper() if value != value.lower() else x)
+        n = len(value)
+        if re.fullmatch(r"[0-9]{16,}", value):
+            return f"{name}{self._permuted(f'secret digits{n}', 10**n, int(value), back):0{n}d}"
+        # letters of one case: mixed case would not come back as digits; one letter at least, so it is read so again
+        if re.fullmatch(r"[0-9a-f]{16,}|[0-9A-F]{16,}", value):
+            x = f"{self._permuted(f'secret{n}', 16**n, int(value, 16), back, lambda x: not f'{x:x}'.isdigit()):0{n}x}"
+            return name + (x.upper() if value == value.upper() else x)
+        return self._apart(name, value, back)
+
+    def _apart(self, name: str, value: str, back: bool) -> str | None:
+        """A value by classes; what would be read as hexadecimal digits afterwards is walked on from."""
+        while True:
+            new = self._in_classes("secret", value, back)
+            if new is None or not re.fullmatch(r"[0-9a-f]{16,}|[0-9A-F]{16,}", new):
+                return None if new is None else name + new
+            value = new
 
     def replace(self, text: str, counts: dict[str, int], back: bool = False) -> str:
+        """``text`` with its valid values replaced; what only looks like a value is passed over whole, so that
+        the text is read the same way back."""
+
         def one(m: re.Match) -> str:
             kind = m.lastgroup
             new = self.value(kind, m[0], back) if kind in self.kinds else None
