@@ -10,15 +10,20 @@ Encoding:
    one entry per block, however often it occurs.
 3. The ids go back to the blocks, which replace numbers by ids.
 
-Decoding takes the bytes of each id from the token-byte table; the vocabulary is
-of fixed size, so the table travels with the tasks.
+Decoding looks each id up in the token-byte table; the vocabulary is of fixed size,
+so the table travels with the tasks (``TokenBytes.java``, see jvm.py).
+
+A partition's rows are sorted before they are numbered, so a task that is repeated
+after a loss makes the same blocks, whatever order its input comes in.
 
 Only packed, compressed sequences and distinct pre-tokens are shuffled, never
 texts or a row per occurrence.
 
 Defined results: a null or empty text has no ids; rows are encoded one by one,
 so repeated rows and null ids do no harm; an empty table gives an empty result;
-columns not asked for are not read. Special tokens' strings are ordinary text.
+columns not asked for, whatever their names, are not read. Special tokens' strings
+are ordinary text. A document longer than ``BLOCK_BYTES`` is encoded whole, as a
+block of its own.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom.llm import jvm
 from chronoloom.llm.common import read_table, shuffle_partitions, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -55,19 +61,21 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(2)
-def _encoding(path: str, pattern: str):
+def _encoding(path: str):
     import tiktoken  # only workers that encode load it
 
-    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+    # a pre-token is encoded as a whole, whatever is in it
+    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=load_ranks(path), special_tokens={})
 
 
 @lru_cache(2)
-def _token_bytes(path: str) -> pa.Array:
+def _token_bytes(path: str) -> bytes:
+    """The number of ids, where each one's bytes end, and all bytes."""
     ranks = load_ranks(path)
-    table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    table = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    return pa.array(table, pa.large_binary())
+    return np.array([len(table), *np.cumsum([len(t) for t in table])], "<u4").tobytes() + b"".join(table)
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -111,12 +119,12 @@ def _unpack_seq(data: bytes) -> np.ndarray:
 
 def _bucket_of(words: list[str], buckets: int, step: int = 20_000) -> np.ndarray:
     """A hash of the words alone, alike on every machine."""
-    from chronoloom.llm.textops import Bytes
+    from chronoloom.llm.textops import Bytes, spans
 
     out = []
     for a in range(0, len(words), step):  # the hash keeps powers for as many bytes as it sees at once
         b = Bytes.of(pa.array(words[a : a + step], pa.large_string()))
-        out.append(Bytes.span(b.prefix(b.raw), b.off[:-1], b.off[1:]) % np.uint64(buckets))
+        out.append(spans(b.raw, b.off[:-1], b.off[1:]) % np.uint64(buckets))
     return np.concatenate(out).astype(np.int64)
 
 
@@ -130,18 +138,17 @@ class _Block:
         self.ids: list[pa.Array] = []
         self.bytes = 0
 
-    def add(self, text: str, split) -> None:
+    def add(self, text: str, n_bytes: int, split) -> None:
         words = split(text)
         number = self.number
         self.seq.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
         self.sizes.append(len(words))
-        self.bytes += len(text)
+        self.bytes += n_bytes
 
     def rows(self, place: int, buckets: int) -> Iterator[tuple]:
         """The block's distinct pre-tokens by hash bucket, and its sequence.
 
-        Its number is its place and a checksum of its sequence: should a lost task be repeated on
-        rows in another order, its rows would not be taken for those of the first attempt.
+        Its number is its place and a checksum of its sequence.
         """
         words = list(self.number)
         seq = np.concatenate(self.seq) if self.seq else np.zeros(0, np.uint32)
@@ -201,8 +208,9 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
             for batch in batches:
                 block.ids.append(batch.column(0))
                 start = 0
+                sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
                 for i, x in enumerate(batch.column(1).to_pylist()):
-                    block.add(x or "", split)
+                    block.add(x or "", sizes[i], split)
                     if block.bytes >= block_bytes:
                         block.ids[-1] = block.ids[-1].slice(0, i + 1 - start)
                         yield from block.rows(first + made, buckets)
@@ -214,7 +222,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
         return _batches(rows(), arrow_id)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _encoding(path, pattern)._core_bpe.encode_single_piece
+        one = _encoding(path).encode_ordinary
 
         def rows() -> Iterator[tuple]:
             bucket, known = None, {}
@@ -231,7 +239,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
                         at += size
                         ids = known.get(word)
                         if ids is None:
-                            ids = known[word] = one(word)
+                            ids = known[word] = one(word.decode())
                         found.append(ids)
                     flat = np.fromiter((i for ids in found for i in ids), np.uint32)
                     yield bucket, row["block"], row["numbers"], _pack(np.fromiter(map(len, found), np.uint32, len(found))), _pack(flat), None
@@ -257,7 +265,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
         numbers, sizes, ids = gather("numbers"), gather("sizes").astype(np.int64), gather("payload").astype(np.int32)
         words = _unpack_seq(seq["numbers"]) if seq is not None else numbers
         if seq is None or len(numbers) != (int(words.max()) + 1 if len(words) else 0):
-            raise RuntimeError("rows of a block are missing or of another attempt; write the documents to a table first")
+            raise RuntimeError(f"block {rows[0]['block']} is not whole")
         rows.clear()
         start, size = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         start[numbers], size[numbers] = np.cumsum(sizes) - sizes, sizes
@@ -275,7 +283,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
             yield pa.RecordBatch.from_arrays([names.slice(at, to - at), lists], names=[doc_id, "ids"])
             at = to
 
-    rows = docs.select(doc_id, text).mapInArrow(numbered, _ROWS.format(id=sql_type))
+    rows = docs.select(doc_id, text).sortWithinPartitions(doc_id, text).mapInArrow(numbered, _ROWS.format(id=sql_type))
     rows = rows.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
     rows = rows.mapInArrow(encoded, _ROWS.format(id=sql_type))
     # a block's rows meet, one block after another, and are put out piece by piece
@@ -286,22 +294,8 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
 def decode(rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
     """``rows`` with ``decoded``, the bytes of their ids."""
     path = path or public_tokenizers.path(VOCABULARY)
-    small_batches(rows.sparkSession)
-    names = [c for c in rows.columns if c != "decoded"]
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _token_bytes(path)
-        for batch in batches:
-            lists = batch.column(ids)
-            flat = table.take(lists.flatten())
-            ends = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1)
-            sizes = np.fromiter((0 if x is None else x for x in pc.list_value_length(lists).to_pylist()), np.int64, len(lists))
-            bounds = ends[np.concatenate([[0], np.cumsum(sizes)])]
-            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(bounds)), flat.buffers()[2]])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), data.cast(pa.binary())], names=[*names, "decoded"])
-
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.select(*names).mapInArrow(joined, f"{kinds}, decoded binary")
+    jvm.register(rows.sparkSession, "TokenBytes", {"chronoloom_token_bytes": ("Decode", "binary")})
+    return rows.withColumn("decoded", jvm.call("chronoloom_token_bytes", F.col(ids), F.lit(_token_bytes(path))))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
