@@ -16,7 +16,10 @@
 5. Components are contracted again, to the smallest doc_id of each.
 
 Verification compares the whole shingle sets, as integers. A pair at exactly
-the threshold of 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6.
+the threshold of 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6, and
+is passed over for its estimate with probability 2e-4 at the most (``missed``
+gives both for any similarity); with ``least_estimate`` 0 no pair of a bucket is
+passed over, which is the exact way.
 
 Defined results: null or blank texts have no shingles and are linked with
 nothing; rows that share a doc_id are one document, linked with whatever one of
@@ -28,6 +31,7 @@ are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -172,30 +176,33 @@ def components(edges: DataFrame) -> DataFrame:
     return forest.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def missed(similarity: float, least: float = LEAST_ESTIMATE) -> tuple[float, float]:
+    """Probabilities that a pair of this similarity shares no band, and that its signatures agree in too few slots.
+
+    The second is for independent slots; those of SuperMinHash vary less.
+    """
+    few = int(np.ceil(least * SLOTS))
+    tail = sum(comb(SLOTS, i) * similarity**i * (1 - similarity) ** (SLOTS - i) for i in range(few))
+    return (1 - similarity**BAND_ROWS) ** BANDS, tail
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose texts' shingle sets satisfy 100 * intersection >= percent * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-            for i, t in ((0, 2), (1, 3)):
-                ids = batch.column(i).to_numpy()
-                new, first = np.unique(ids, return_index=True)
-                fresh = [x not in sets for x in new.tolist()]
-                new, first = new[fresh], first[fresh]
-                for row, h, bounds in shingle_sets(batch.column(t).take(pa.array(first)), k):
-                    for j in range(len(bounds) - 1):
-                        sets[int(new[row + j])] = h[bounds[j] : bounds[j + 1]]
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = []
-            for x, y in zip(a, b, strict=True):
-                ok.append(_close(sets[x], sets[y], percent))
-            keep = pa.array(ok, pa.bool_())
+            # a pair is judged by the texts of its row: a doc_id may have several
+            both = pa.concat_arrays([batch.column(2), batch.column(3)]).dictionary_encode()
+            sets: list[np.ndarray] = []
+            for _, h, bounds in shingle_sets(both.dictionary, k):
+                sets += np.split(h, bounds[1:-1])
+            a, b = both.indices.to_numpy()[: len(batch)], both.indices.to_numpy()[len(batch) :]
+            keep = pa.array([_close(sets[x], sets[y], percent) for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     ta = texts.select(F.col("d").alias("a"), F.col("t").alias("ta"))
     tb = texts.select(F.col("d").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct()
 
 
 def _close(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -205,7 +212,7 @@ def _close(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _cell_links(cell: list[dict], k: int, percent: int) -> Iterator[tuple[int, int]]:
+def _cell_links(cell: list[dict], k: int, percent: int, least: float = LEAST_ESTIMATE) -> Iterator[tuple[int, int]]:
     """Verified links across components in one cell, enough of them to connect all that are linked.
 
     Pairs go from the most to the least alike, and a pair that earlier links already connect is
@@ -222,7 +229,7 @@ def _cell_links(cell: list[dict], k: int, percent: int) -> Iterator[tuple[int, i
     for i in range(len(cell) - 1):
         other = np.flatnonzero((group[i + 1 :] != group[i]) & ((part[i + 1 :] != part[i]) | (not two))) + i + 1
         agree = (sig[other] == sig[i]).sum(1)
-        hit = agree >= LEAST_ESTIMATE * SLOTS
+        hit = agree >= least * SLOTS
         near.append(np.stack([agree[hit], np.full(hit.sum(), i), other[hit]]))
     pairs = np.concatenate(near, axis=1)
     pairs = pairs[:, np.argsort(-pairs[0], kind="stable")]
@@ -246,15 +253,18 @@ def _cell_links(cell: list[dict], k: int, percent: int) -> Iterator[tuple[int, i
             yield cell[i]["d"], cell[j]["d"]
 
 
-def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = len(batch)
-        sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(n, SLOTS) for c in (2, 3))
-        keep = pa.array((sa == sb).sum(1) >= LEAST_ESTIMATE * SLOTS)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+def _estimated(least: float):
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(batch)
+            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(n, SLOTS) for c in (2, 3))
+            keep = pa.array((sa == sb).sum(1) >= least * SLOTS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return estimate
 
 
-def linked_across(tagged: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def linked_across(tagged: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, percent: int, least: float = LEAST_ESTIMATE) -> DataFrame:
     """(a, b): verified links between the components that meet in one bucket.
 
     ``tagged`` has (band, d, component). A bucket's members are split into the smallest component
@@ -266,7 +276,7 @@ def linked_across(tagged: DataFrame, sketch: DataFrame, texts: DataFrame, k: int
     lows = tagged.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "lo")
     split = sized.join(lows, "band").withColumn("main", main)
     parts = lambda m: F.ceil(F.greatest(F.sum(F.when(F.col("main") == m, 1)) / CELL, F.sum(F.when(F.col("main") == m, F.col("n"))) / CELL_SHINGLES)).cast("int")
-    counted = split.groupBy("band").agg(F.first("lo").alias("lo"), F.count(F.lit(1)).alias("size"), parts(True).alias("p"), parts(False).alias("q"), F.sum(F.xxhash64("d", "component") / 4).alias("s1"), F.sum(F.xxhash64(F.lit(1), "d") / 4).alias("s2"))
+    counted = split.groupBy("band").agg(F.first("lo").alias("lo"), F.count(F.lit(1)).alias("size"), parts(True).alias("p"), parts(False).alias("q"), F.bit_xor(F.xxhash64("d", "component")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "d")).alias("s2"))
     # buckets with the same members need one look
     once = counted.groupBy("size", "s1", "s2").agg(F.min_by(F.struct("band", "lo", "p", "q"), "band").alias("x")).select("x.*")
     dealt = sized.join(once, "band").withColumn("main", main)
@@ -277,13 +287,13 @@ def linked_across(tagged: DataFrame, sketch: DataFrame, texts: DataFrame, k: int
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for cell in batch.column(0).to_pylist() for x in _cell_links(cell, k, percent)]
+            found = [x for cell in batch.column(0).to_pylist() for x in _cell_links(cell, k, percent, least)]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     return cells.select("cell").mapInArrow(link, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 80, least_estimate: float = LEAST_ESTIMATE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
     small_batches(docs.sparkSession)
     rows = store(sketches(docs, text, doc_id, k))
@@ -298,7 +308,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sigs = classes.select("d", "sig")
     pairs = members.where("d <> pivot").select(F.col("pivot").alias("a"), F.col("d").alias("b")).distinct()
     pairs = pairs.join(sigs.select(F.col("d").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("d").alias("b"), F.col("sig").alias("sb")), "b")
-    pairs = store(pairs.select("a", "b", "sa", "sb").mapInArrow(_estimated, "a long, b long").distinct())
+    pairs = store(pairs.select("a", "b", "sa", "sb").mapInArrow(_estimated(least_estimate), "a long, b long").distinct())
 
     ids = members.select("d").distinct()
     texts = store(docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).join(ids, "d", "left_semi"))
@@ -310,7 +320,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     found = components(links)
 
     tagged = members.where("size > 2").join(found, F.col("d") == F.col("node"), "left").withColumn("component", F.coalesce("component", "d")).drop("node")
-    more = store(linked_across(tagged, classes.select("d", "sig", "n"), texts, k, percent))
+    more = store(linked_across(tagged, classes.select("d", "sig", "n"), texts, k, percent, least_estimate))
     if not more.isEmpty():
         found = components(links.unionByName(more))
     for table in (members, pairs, texts, links, more):

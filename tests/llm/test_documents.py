@@ -205,6 +205,32 @@ def test_signatures_estimate_similarity():
     assert sorted((small[1] >> np.uint64(32)).tolist()) == list(range(near_dedup.SLOTS))
 
 
+def test_pairs_that_may_be_missed_are_as_few_as_stated(spark):
+    assert near_dedup.missed(0.8)[0] < 3.1e-6 and near_dedup.missed(0.8)[1] < 2e-4 and near_dedup.missed(0.9)[1] < 1e-12 and near_dedup.missed(0.8, 0)[1] == 0
+    r = random.Random(9)
+    rows = []
+    for i in range(150):
+        w = [f"g{i}w{r.randrange(10**6)}" for _ in range(r.choice([20, 60, 200]))]
+        rows.append((2 * i, " ".join(w), None, None, None))
+        n = len(w) - 3
+        # one or more changed words at an end change as many shingles as there are words
+        for c in range(1, n):
+            if 100 * (n - c) >= 80 * (n + c) and 100 * (n - c - 1) < 80 * (n + c + 1):
+                rows.append((2 * i + 1, " ".join(w[:-c] + [f"x{i}y{j}" for j in range(c)]), None, None, None))
+    want = h.groups({i: t for i, t, *_ in rows}, 4, 80)
+    assert sum(want[2 * i + 1] == 2 * i for i in range(150)) == 150
+    for least in (near_dedup.LEAST_ESTIMATE, 0.0):
+        got = by_id(near_dedup.near_duplicates(h.frame(spark, rows), k=4, least_estimate=least))
+        assert {i: got[i]["component_id"] for i in want} == want
+
+
+def test_a_document_of_several_texts_is_linked_by_any_of_them(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    near = b.replace("b30", "other")
+    got = near_dedup.near_duplicates(h.frame(spark, [(2, a, None, None, 0), (2, b, None, None, 0), (7, near, None, None, 0), (9, a + " z", None, None, 0)]), k=4)
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(2, 2), (7, 2), (9, 2)}
+
+
 def test_components(spark):
     r = random.Random(7)
     edges = [(i, i + 1) for i in range(50)] + [(100, 101 + i) for i in range(40)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(90)]
