@@ -9,7 +9,8 @@ limit are rejected, and the verdict is joined back to their documents.
 
 Defined results: a null text has no words, symbols or lines, so it fails the
 base rule; a null host is no host: its documents are judged by the base rule
-alone; repeated rows count as often as they occur; an empty table gives an
+alone; repeated rows count as often as they occur; texts of any length are
+measured whole; a rate equal to its limit rejects nothing; an empty table gives an
 empty result; other columns pass through, and those that clash with a column
 made here are replaced by it.
 """

@@ -14,8 +14,9 @@ A-Z in lower case. Keys of under ``min_chars`` code points are never removed.
 
 Defined results: a null or empty text is one empty line; rows that share a
 doc_id are one document, each row keeping what the document owns; rows without
-a doc_id count as one document that comes after all others; an empty table
-gives an empty result; other columns pass through unread.
+a doc_id count as one document that comes after all others; texts of any length are
+split whole; an empty table gives an empty result; other columns pass through unread,
+and those that clash with a count made here are replaced by it.
 """
 
 from __future__ import annotations

@@ -24,8 +24,9 @@ passed over, which is the exact way.
 Defined results: null or blank texts have no shingles and are linked with
 nothing; rows that share a doc_id are one document, linked with whatever one of
 them is linked with; rows without a doc_id are linked with nothing, have a null
-component_id and are kept; an empty table gives an empty result; other columns
-are not read.
+component_id and are kept; texts of any length are compared whole; of documents
+with equal sets the smallest doc_id names the class; an empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

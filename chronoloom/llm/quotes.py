@@ -9,17 +9,23 @@ to the one its first level's passages mostly come from, and else to the one
 before it. Quoted lines, and a line that announces them ("... wrote:"), are left
 out of the text.
 
-A conversation may be of any length, so nothing gathers one as a whole:
-messages are dealt by range of (conversation, turn), numbered within their
-partition and moved on by the sums of the partitions before; conversations come
-out in parts of at most ``PART`` messages, in an order in which every message
-follows the one it replies to.
+Messages that quote each other make a thread: the links' components, named by their
+first message. A conversation comes out in the order of replies: thread by thread,
+in the order of their first messages, so that a message that quotes an old one
+stands with it, and every message follows the one it replies to.
+
+A conversation may be of any length, so nothing gathers one as a whole: messages
+are dealt by range of (conversation, turn), and again of (conversation, thread,
+turn), numbered within their partition and moved on by the sums of the partitions
+before; conversations come out in parts of at most ``PART`` messages.
 
 Defined results: a null or empty text is an empty message; messages without a
 conv_id form one conversation of their own; those without a turn come first,
 reply to nothing and are never linked to; repeated rows are messages of their
-own, in the order of their role and text; an empty table gives an empty result;
-other columns are not read.
+own, in the order of their role and text, and as a source the first of them counts;
+quoted lines of fewer than ``LEAST_CHARS`` characters link nothing by themselves; a
+text of any length is read whole; an empty table gives an empty result; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +39,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoloom.llm.common import read_table, shuffle_partitions, small_batches, store
+from chronoloom.llm.near_dedup import components
 from chronoloom.llm.textops import Bytes, spans
 
 PART = 64
@@ -80,7 +88,7 @@ def _hashes(strings: list[str]) -> np.ndarray:
     return spans(b.raw, b.off[:-1], b.off[1:]).view(np.int64)
 
 
-_PARSED = "pid long, conv_id long, turn long, role string, own string, at long, last_turn long, own_hashes array<long>, passages array<int>, levels array<int>, sizes array<int>, quoted array<long>"
+_PARSED = "id long, pid long, conv_id long, turn long, role string, own string, at long, last_turn long, own_hashes array<long>, passages array<int>, levels array<int>, sizes array<int>, quoted array<long>"
 
 
 def parsed_messages(messages: DataFrame) -> DataFrame:
@@ -90,6 +98,7 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, before, at, last = TaskContext.get().partitionId(), object(), 0, None
+        number = pid << 33  # in the order of conversations and turns
         for batch in batches:
             out = []
             for conv, turn, role, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -100,10 +109,10 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
                 keys = [x for x in keys if len(x) >= LEAST_CHARS]
                 quoted = [(i, level, normalised(x)) for i, (level, lines) in enumerate(passages) for x in dict.fromkeys(["\n".join(lines), *lines])]
                 quoted = [x for x in quoted if len(x[2]) >= LEAST_CHARS]
-                out.append((pid, conv, turn, role, own, at, last, _hashes(keys).tolist(), [q[0] for q in quoted], [q[1] for q in quoted], [len(q[2]) for q in quoted], _hashes([q[2] for q in quoted]).tolist()))
-                at, last = at + 1, turn
+                out.append((number, pid, conv, turn, role, own, at, last, _hashes(keys).tolist(), [q[0] for q in quoted], [q[1] for q in quoted], [len(q[2]) for q in quoted], _hashes([q[2] for q in quoted]).tolist()))
+                number, at, last = number + 1, at + 1, turn
             columns = zip(*out, strict=True) if out else [[]] * len(names)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     rows = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
@@ -113,16 +122,16 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
 
 
 def linked_messages(messages: DataFrame) -> DataFrame:
-    """A row for each message: (conv_id, position, turn, role, reply_to, n_quotes, n_linked, text)."""
+    """A row for each message: (conv_id, position, turn, role, reply_to, n_quotes, n_linked, links, text), ``position`` in the order of replies."""
     rows = parsed_messages(messages)
 
-    # where each partition's share of a conversation begins, and the turn before it
-    shares = rows.groupBy("conv_id", "pid").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("latest"))
-    order = W.partitionBy("conv_id").orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
-    shares = store(shares.select("conv_id", "pid", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("offset"), F.max("latest").over(order).alias("before")))
     same = lambda a, b, c: F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    # the turn before a partition's share of a conversation
+    shares = rows.groupBy("conv_id", "pid").agg(F.max("turn").alias("latest"))
+    order = W.partitionBy("conv_id").orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
+    shares = store(shares.select("conv_id", "pid", F.max("latest").over(order).alias("before")))
     placed = rows.alias("m").join(shares.alias("s"), same("m", "s", "conv_id") & (F.col("m.pid") == F.col("s.pid")), "left")
-    placed = placed.select("m.*", (F.col("offset") + F.col("at")).alias("position"), F.coalesce("last_turn", F.when(F.col("at") == 0, F.col("before"))).alias("previous"))
+    placed = placed.select("m.*", F.coalesce("last_turn", F.when(F.col("at") == 0, F.col("before"))).alias("previous"))
 
     # a passage's source is among the messages that hold one of its rare lines, each weighed by all the
     # passage's lines, or it shares common lines only: of messages with the same ones the first counts
@@ -145,9 +154,42 @@ def linked_messages(messages: DataFrame) -> DataFrame:
     passages = weighed.groupBy("conv_id", "pid", "at", "passage", "level").agg(F.max(F.struct("weight", (-F.col("source")).alias("s"))).alias("best"))
     linked = passages.groupBy("conv_id", "pid", "at").agg(F.count(F.lit(1)).alias("n_linked"), F.max(F.when(F.col("level") == 1, F.struct("best.weight", "best.s"))).alias("to"), F.array_sort(F.collect_list(F.struct("passage", "level", (-F.col("best.s")).alias("turn")))).alias("links"))
 
-    out = placed.alias("m").join(linked.alias("l"), same("m", "l", "conv_id") & (F.col("m.pid") == F.col("l.pid")) & (F.col("m.at") == F.col("l.at")), "left")
+    linked = store(linked)
+    # links to the first message of the turn that is replied to make threads
+    turns = rows.where("turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("id").alias("source"))
+    replies = linked.where("to IS NOT NULL").select("conv_id", "pid", "at", (-F.col("to.s")).alias("turn"))
+    replies = replies.alias("r").join(rows.alias("m"), same("r", "m", "conv_id") & (F.col("r.pid") == F.col("m.pid")) & (F.col("r.at") == F.col("m.at"))).select("m.id", "r.conv_id", "r.turn")
+    edges = replies.alias("r").join(turns.alias("t"), same("r", "t", "conv_id") & (F.col("r.turn") == F.col("t.turn"))).select(F.col("r.id").alias("a"), F.col("t.source").alias("b"))
+    threads = components(edges)
+
+    out = placed.alias("m").join(linked.alias("l"), same("m", "l", "conv_id") & (F.col("m.pid") == F.col("l.pid")) & (F.col("m.at") == F.col("l.at")), "left").join(threads.alias("t"), F.col("m.id") == F.col("t.node"), "left")
     n_quotes = F.coalesce(F.array_max("m.passages") + 1, F.lit(0)).cast("long")
-    return out.select("m.conv_id", "m.position", "m.turn", "m.role", F.when(F.col("m.turn").isNotNull(), F.coalesce(-F.col("l.to.s"), "m.previous")).alias("reply_to"), n_quotes.alias("n_quotes"), F.coalesce("l.n_linked", F.lit(0)).alias("n_linked"), F.coalesce("l.links", F.array().cast("array<struct<passage:int,level:int,turn:bigint>>")).alias("links"), F.col("m.own").alias("text"))
+    out = out.select("m.conv_id", F.coalesce("t.component", "m.id").alias("thread"), "m.id", "m.turn", "m.role", F.when(F.col("m.turn").isNotNull(), F.coalesce(-F.col("l.to.s"), "m.previous")).alias("reply_to"), n_quotes.alias("n_quotes"), F.coalesce("l.n_linked", F.lit(0)).alias("n_linked"), F.coalesce("l.links", F.array().cast("array<struct<passage:int,level:int,turn:bigint>>")).alias("links"), F.col("m.own").alias("text"))
+    return numbered(out, ["thread", "id"]).select("conv_id", "position", "turn", "role", "reply_to", "n_quotes", "n_linked", "links", "text")
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``position``, their number from 0 in their conversation."""
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("_pid", T.LongType()), T.StructField("_at", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, before, at = TaskContext.get().partitionId(), object(), 0
+        for batch in batches:
+            places = []
+            for conv in batch.column("conv_id").to_pylist():
+                before, at = conv, at + 1 if conv == before else 0
+                places.append(at)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([pid] * len(places), pa.int64()), pa.array(places, pa.int64())], names=[*names, "_pid", "_at"])
+
+    dealt = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), "conv_id", *order).sortWithinPartitions("conv_id", *order)
+    dealt = store(dealt.mapInArrow(count, schema))
+    # where each partition's share of a conversation begins
+    shares = dealt.groupBy("conv_id", "_pid").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("conv_id").orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    shares = shares.select(F.col("conv_id").alias("_conv"), F.col("_pid").alias("_share"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    out = dealt.join(shares, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_pid") == F.col("_share")))
+    return out.withColumn("position", F.col("_offset") + F.col("_at"))
 
 
 def conversations(messages: DataFrame, part: int = PART) -> DataFrame:

@@ -12,8 +12,8 @@ Defined results: a null or empty text has zeros as statistics and is scored like
 any other; a document labelled several times has its highest label; labels that
 are null or belong to no document are ignored; where fewer than two labels
 occur, or no rule splits them, every score is the smoothed share of label 1; rows without a doc_id are
-scored and not held out; repeated rows are scored alike; an empty table gives an
-empty result; other columns are not read.
+scored and not held out; repeated rows are scored alike; texts of any length are
+read whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

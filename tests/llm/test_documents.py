@@ -388,6 +388,26 @@ def test_overlaps_of_repeated_rows_clashing_columns_and_empty_tables(spark, docs
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == docs.count() and decontaminate.drop_contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_very_long_texts_are_read_whole(spark, docs):
+    """One text of some 3 MB: what is at its end counts as what is at its beginning."""
+    n = 250_000
+    body = "\n".join(" ".join(f"w{i * 50 + j}" for j in range(50)) for i in range(n // 50))
+    tail = "the last line that another document repeats"
+    rows = [(1, tail, None, "s", 0), (2, body + "\n" + tail, None, "s", 0), (3, body.replace("w249999", "other") + "\n#" + tail, None, "s", 0), (4, "x" * 3_000_000, None, "s", 0)]
+    df = h.frame(spark, rows)
+    got = by_id(host_rules.measured(df, keep=("doc_id",)))
+    assert got[2]["n_words"] == n + 7 and got[3]["n_symbols"] == 1 and (got[4]["n_words"], got[4]["word_chars"]) == (1, 3_000_000)
+    got = by_id(line_dedup.drop_repeated_lines(df))
+    assert (got[2]["n_lines"], got[2]["n_dropped"], got[2]["text"]) == (n // 50 + 1, 1, body) and got[4]["text"] == "x" * 3_000_000
+    got = by_id(near_dedup.near_duplicates(df))
+    assert got[2]["n_shingles"] == n + 3 and (got[3]["component_id"], got[4]["component_id"]) == (2, 4)
+    bench = spark.createDataFrame([(0, "the last line that another document repeats")], "item_id long, text string")
+    found = {x["doc_id"]: x["first_token"] for x in decontaminate.find_overlaps(df, bench).collect()}
+    assert found == {1: 0, 2: n, 3: n}
+    bench = spark.createDataFrame([(0, f"w{n - 3} w{n - 2} w{n - 1} {tail}")], "item_id long, text string")
+    assert {x["doc_id"]: x["first_token"] for x in decontaminate.find_overlaps(df, bench).collect()} == {2: n - 3}
+
+
 # -- queries -------------------------------------------------------------------------------------------------------------
 
 

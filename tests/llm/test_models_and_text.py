@@ -303,9 +303,11 @@ def test_quotations_are_linked_and_left_out(spark):
     df = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string").withColumn("position", F.lit(1))
     got = {(r["conv_id"], r["turn"], r["position"]): r for r in quotes.linked_messages(df).collect()}
     assert len(got) == len(TALK)
-    m = got[1, 2, 2]
+    # messages 0, 2 and 3 of the first conversation quote each other, so message 1 comes after them
+    assert [t for c, t, _ in sorted((k for k in got if k[0] == 1), key=lambda k: k[2])] == [0, 2, 3, 1, 4]
+    m = got[1, 2, 1]
     assert (m["text"], m["reply_to"], m["n_quotes"], m["n_linked"]) == ("I meant without any clock.", 0, 1, 1)
-    m = got[1, 3, 3]
+    m = got[1, 3, 2]
     assert (m["text"], m["reply_to"], m["n_quotes"], m["n_linked"]) == ("Count slowly to three hundred.", 2, 2, 2)
     assert [(x["level"], x["turn"]) for x in m["links"]] == [(2, 0), (1, 2)]
     m = got[1, 4, 4]
@@ -326,6 +328,60 @@ def test_passages_with_recurring_lines_go_to_the_message_that_holds_them(spark,
     assert [got[c, t] for c in (1, None) for t in (7, 8, 9)] == [5, 0, 3] * 2
 
 
+def brute_conversations(rows: list[tuple]) -> dict:
+    """(conv, turn) -> (own text, reply_to, links), and each conversation's order, by looking at all earlier messages."""
+    norm = lambda x: " ".join(x.lower().split())
+    out, orders = {}, {}
+    for conv in {r[0] for r in rows}:
+        talk = sorted(r for r in rows if r[0] == conv)
+        parsed = {t: quotes.parse(text) for _, t, _, text in talk}
+        held = {t: {norm(x) for x in {own, *own.split("\n")}} for t, (own, _) in parsed.items()}
+        root = {}
+        for n, (_, turn, _, _) in enumerate(talk):
+            links, weights = [], []
+            for i, (level, lines) in enumerate(parsed[turn][1]):
+                keys = [norm(x) for x in dict.fromkeys(["\n".join(lines), *lines])]
+                weight = {t: sum(len(k) for k in keys if len(k) >= 8 and k in held[t]) for _, t, _, _ in talk if t < turn}
+                best = max(weight.values(), default=0)
+                if best:
+                    links.append((i, level, min(t for t, w in weight.items() if w == best)))
+                    weights.append(best)
+            first = [(w, -t) for (_, level, t), w in zip(links, weights) if level == 1]
+            to = -max(first)[1] if first else None
+            root[turn] = turn if to is None else root[to]
+            out[conv, turn] = (parsed[turn][0], to if to is not None else talk[n - 1][1] if n else None, links)
+        orders[conv] = sorted(root, key=lambda t: (root[t], t))
+    return out, orders
+
+
+def test_generated_threads_equal_brute_force(spark):
+    r = random.Random(21)
+    rows = []
+    for conv in range(25):
+        own: list[list[str]] = []
+        for turn in range(r.randrange(1, 25)):
+            lines = [f"line {r.randrange(40)} of some talk {conv % 3}" for _ in range(r.randrange(1, 4))]
+            text = []
+            for _ in range(r.choice([0, 0, 1, 2])):
+                if own:
+                    source = r.choice(own)
+                    level = r.choice([1, 1, 2, 3])
+                    text += ["> " * level + (x.upper() if r.random() < 0.2 else x) for x in source[: r.randrange(1, 4)]]
+                    text += ["an answer to this " + str(r.randrange(9))] if r.random() < 0.5 else []
+            own.append(lines)
+            rows.append((conv, turn, "user", "\n".join(text + lines)))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = quotes.linked_messages(df).collect()
+    want, orders = brute_conversations(rows)
+    assert {(m["conv_id"], m["turn"]): (m["text"], m["reply_to"], [(x["passage"], x["level"], x["turn"]) for x in m["links"]]) for m in got} == want
+    for conv, order in orders.items():
+        talk = sorted((m for m in got if m["conv_id"] == conv), key=lambda m: m["position"])
+        assert [m["turn"] for m in talk] == order and [m["position"] for m in talk] == list(range(len(order)))
+        place = {m["turn"]: m["position"] for m in talk}
+        assert all(m["reply_to"] is None or place[m["reply_to"]] < m["position"] for m in talk)
+    assert sum(o != sorted(o) for o in orders.values()) > 5
+
+
 def test_conversations_come_in_bounded_parts(spark):
     n = 150
     rows = [(9, i, "user", f"message number {i}") for i in range(n)] + [(10, 5, "user", "x"), (10, 5, "user", "x")]
