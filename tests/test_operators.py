@@ -180,7 +180,7 @@ def test_draws_do_not_depend_on_partitions(spark):
     m = sampling.mixture(3000, df, "c", "k", {"0": 0.7, "1": 0.3}, 2)
     share = m.where("c = '0'").count() / m.count()
     assert m.count() == 3000 and abs(share - 0.7) < 0.05
-    assert [r["k"] for r in sampling.evenly_spaced(df, ["k"], 3).orderBy("k").collect()] == [0, 249, 499]
+    assert [r["k"] for r in sampling.evenly_spaced(df, "k", 3).orderBy("k").collect()] == [0, 249, 499]
 
 
 def test_backfill_reaches_the_total(spark):
@@ -258,3 +258,126 @@ def test_scaler_and_triage(spark):
     assert got[0] == pytest.approx(0, abs=1e-9) and got[1] == pytest.approx(1)
     assert s.transform(spark.createDataFrame([(1e9, NAN, None)], "p double, q double, r double")).first()["p"] == 10.0
     assert preprocess.triage(df, {"p": 0.1, "q": 0.5, "r": 0.2}, ["p", "q", "r"]) == ["q", "r"]
+
+
+def test_range_sums_per_group_and_of_several_values(spark):
+    data = [(k % 3 if k % 3 else None, float(v), k) for k, v in enumerate([5, 1, 1, 9, 2, 7, 2, 2, 8, 0, 3, 3] * 20)]
+    df = spark.createDataFrame(data, "g int, v double, k int").repartition(5)
+    counts = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("t"))
+    got = {(r["g"], r["v"]): (r["a"], r["b"]) for r in relational.prefix_sums(counts, "v", {"a": F.col("n"), "b": F.col("t")}, ["g"], buckets=4).collect()}
+    assert got == {(g, v): (sum(h == g and w < v for h, w, _ in data), sum(k for h, w, k in data if h == g and w < v)) for g, v, _ in data}
+
+
+def test_packing_keeps_to_the_room(spark):
+    r = np.random.default_rng(3)
+    sizes = [int(x) for x in r.integers(0, 90, 900)]
+    sizes[17] = 250  # longer than a bin
+    df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(sizes)], "i long, n long, bin_ string").repartition(6)
+    got = sorted((x["bin"], x["position"], x["i"], x["n"]) for x in sampling.packed(df, "n", "i", 100, share=8).collect())
+    assert len(got) == 900 and [x[2] for x in got] == sorted(x[2] for x in got)
+    bins: dict = {}
+    for b, at, _, n in got:
+        assert at == bins.get(b, 0)
+        bins[b] = at + n
+    assert [b for b, used in bins.items() if used > 100] == [b for b, _, i, _ in got if i == 17]
+    # no more than twice the bins that are needed, and one for each share
+    assert len(bins) <= 2 * sum(sizes) / 100 + sum(sizes) / 800 + 2
+    assert sampling.packed(df.limit(0), "n", "i", 100).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(0, 50), st.integers(0, 60)), min_size=1, max_size=7), st.integers(0, 150))
+def test_whole_numbers_by_largest_remainders(parts, total):
+    exact, room = np.array([x for x, _ in parts]), np.array([r for _, r in parts])
+    total = int(min(total, room.sum()))
+    got = sampling._largest_remainders(exact, total, room)
+    # one unit at a time: floors, then the largest remainders once, then the largest headroom
+    want = [min(math.floor(x + 1e-9), r) for x, r in parts]
+    for i in sorted(range(len(parts)), key=lambda i: -(exact[i] - want[i])):
+        if sum(want) < total and want[i] < room[i]:
+            want[i] += 1
+    floors = [min(math.floor(x + 1e-9), r) for x, r in parts]
+    if sum(floors) <= total:
+        assert got.sum() == total and all(g >= f for g, f in zip(got, floors)) and (got <= room).all()
+        if sum(want) == total:
+            assert got.tolist() == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(0.1, 50), st.floats(0, 60)), min_size=1, max_size=6), st.floats(0, 200))
+def test_capped_shares_fill_in_proportion(parts, total):
+    weights, cap = np.array([w for w, _ in parts]), np.array([c for _, c in parts])
+    got = sampling._capped_shares(weights, total, cap, rounds=20)
+    assert (got <= cap + 1e-9).all() and got.sum() == pytest.approx(min(total, cap.sum()), abs=1e-6)
+    # water level: those below their cap have equal shares of their weights, those at it no larger ones
+    level = (got / weights)[got < cap - 1e-9]
+    if len(level):
+        assert np.allclose(level, level[0]) and ((got / weights) <= level[0] + 1e-9).all()
+
+
+def test_allocation_by_hand():
+    index = pd.DataFrame([("a", "H", "x", 900, 100), ("b", "H", "x", 100, 100), ("c", "D", "x", 1000, 30), ("d", "D", "y", 10, 50)], columns=["name", "freq", "domain", "total_obs", "supply"])
+    got = sampling.allocate(index, 100, floor=10).set_index("name")
+    # strata by observations want 49.75, 49.75 and 10 (the floor), that is 45.4, 45.4 and 9.1 of 100; c gives 30 at most
+    assert got["count"].sum() == 100 and got.loc["c", "count"] == 30
+    rest = got["count"].drop("c")
+    assert rest["a"] + rest["b"] == round(70 * 49.75 / 59.75) and rest["a"] == math.ceil(0.5 * (rest["a"] + rest["b"]))
+    share = index.set_index("name")["total_obs"] / 2010
+    assert got["weight"].to_numpy() == pytest.approx((share / (got["count"] / 100)).to_numpy())
+
+
+def test_frechet_distance_by_eigenvalues(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(70, 4)) @ rng.normal(size=(4, 4)), rng.normal(1, 2, size=(50, 4))
+    c1, c2 = np.cov(a, rowvar=False), np.cov(b, rowvar=False)
+    # the trace of the root of a product is the sum of the roots of its eigenvalues
+    root = np.sqrt(np.maximum(np.linalg.eigvals(c1 @ c2).real, 0)).sum()
+    want = ((a.mean(0) - b.mean(0)) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * root
+    assert coverage.frechet(cloud(spark, a), cloud(spark, b, 1000)) == pytest.approx(want)
+
+
+def test_null_baseline_is_the_metrics_of_halves(spark):
+    x = cloud(spark, np.random.default_rng(6).normal(size=(40, 2)))
+    got = {r["metric"]: (r["mean"], r["std"]) for r in coverage.null_baseline(x, splits=2, k=3).collect()}
+    each = []
+    for i in range(2):
+        halves = sampling.random_halves(x, ["id"], i)
+        each.append(coverage.all_metrics(halves.where("half = 1").drop("half"), halves.where("half = 2").drop("half"), 3).first().asDict())
+    assert len(got) == 9 and all(got[m] == (pytest.approx(np.mean([e[m] for e in each])), pytest.approx(np.std([e[m] for e in each]), abs=1e-12)) for m in each[0])
+    assert coverage.capped(x, 7).count() == 7 and coverage.capped(x).count() == 40
+    assert rows(coverage.capped(x, 7), "id") == rows(coverage.capped(x.repartition(3), 7), "id")
+
+
+def test_composition_table(spark):
+    data = [("e", c, h, s, f"t{k}", 1.0 + k + s + (c == "b")) for c in "ab" for h in ("short", "long") for s in (1, 2) for k in range(3)]
+    df = spark.createDataFrame(data, "domain string, condition string, horizon string, seed int, dataset string, crps double")
+    got = {(r["condition"], r["horizon"]): r for r in compare.composition_table(df, "domain", "condition", "horizon").collect()}
+    for (c, _), r in got.items():
+        per = [np.exp(np.mean([np.log(1.0 + k + s + (c == "b")) for k in range(3)])) for s in (1, 2)]
+        assert r["crps_mean"] == pytest.approx(np.mean(per)) and r["crps_std"] == pytest.approx(np.std(per, ddof=1)) and r["best"] == (c == "a")
+
+
+def test_poisson_interval_is_the_weighted_means(spark):
+    r = np.random.default_rng(7)
+    d = [float(x) for x in r.normal(-0.05, 0.4, 300)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*d, None])], "i int, d double")
+    one, many = (compare.poisson_bootstrap(df.repartition(n), ["i"], 3000).first() for n in (1, 6))
+    assert one["ci_low"] == pytest.approx(many["ci_low"]) and one["p_a_better"] == pytest.approx(many["p_a_better"])
+    # near the normal approximation of the mean
+    m, s = np.mean(d), np.std(d) / math.sqrt(300)
+    assert math.log1p(one["ci_low"]) == pytest.approx(m - 1.96 * s, abs=0.012) and math.log1p(one["ci_high"]) == pytest.approx(m + 1.96 * s, abs=0.012)
+    assert one["p_a_better"] == pytest.approx(0.5 * (1 + math.erf(-m / s / math.sqrt(2))), abs=0.03)
+
+
+def test_padding_and_shapes_of_arrays(spark):
+    from chronoloom.functions import arrays
+
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "i int, a array<double>")
+    a = F.col("a")
+    got = df.select(arrays.edge_pad(a, 5), arrays.edge_pad(a, 2), arrays.as_multivariate(a), arrays.three_tap(a, (1.0, 2.0, 3.0)), arrays.differences(a, 2)).first()
+    assert [list(x) for x in got] == [[1, 2, 3, 3, 3], [1, 2], [[1, 2, 3]], [8, 14, 8], [2]]
+
+
+def test_equal_series_are_found_by_value(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 2.0]), ("c", [2.0, 1.0]), ("d", [1.0])], "item string, target array<double>")
+    assert [(r["length"], r["n"], r["first_item"]) for r in series.duplicates(df, "item").collect()] == [(2, 2, "a")]
