@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.operators.sampling import fixed_size_sample, random_halves
+from chronoloom.sources.readers import stored
 
 #: Neighbours, points at most on either side, points of the quantile grid.
 K, MOST_POINTS, GRID = 5, 100_000, 30
@@ -66,7 +67,9 @@ def _against(df: DataFrame, other: DataFrame, schema: str, per_batch: Callable[[
                     x = np.array(part.column("x").flatten().to_numpy(zero_copy_only=False), float).reshape(len(part), -1)
                     yield pa.RecordBatch.from_arrays([part.column("id"), *per_batch(x, distances(x, block[1]), block)], names=["id", *names])
 
-        part = df.select("id", "x").mapInArrow(scan, f"id long, {schema}")
+        # computed while the block is there, so one block at a time is
+        part = stored(df.select("id", "x").mapInArrow(scan, f"id long, {schema}"))
+        shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], f"id long, {schema}")
 
@@ -80,7 +83,8 @@ def neighbours(df: DataFrame, other: DataFrame, k: int = K) -> DataFrame:
         at = np.argsort(d, axis=1, kind="stable")[:, :m]
         found = np.take_along_axis(d, at, 1)
         ids = block[0][at]
-        return [pa.array([[{"distance": float(a), "neighbour": int(i)} for a, i in zip(r, s, strict=True)] for r, s in zip(found, ids, strict=True)], pa.list_(pa.struct([("distance", pa.float64()), ("neighbour", pa.int64())])))]
+        pairs = pa.StructArray.from_arrays([pa.array(found.ravel()), pa.array(ids.ravel())], names=["distance", "neighbour"])
+        return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * m, pa.int32()), pairs)]
 
     parts = _against(df, other, "found array<struct<distance:double,neighbour:bigint>>", nearest)
     best = parts.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
@@ -101,7 +105,7 @@ def in_balls(df: DataFrame, centres: DataFrame, radius: DataFrame) -> DataFrame:
 
 def prdc(real: DataFrame, synth: DataFrame, k: int = K) -> DataFrame:
     """One row: precision, recall, density, coverage."""
-    r_real, r_synth = radii(real, k), radii(synth, k)
+    r_real, r_synth = stored(radii(real, k)), stored(radii(synth, k))
     inside = in_balls(synth, real, r_real).agg(F.avg((F.col("n_balls") > 0).cast("double")).alias("precision"), (F.avg("n_balls") / k).alias("density"))
     covered = in_balls(real, synth, r_synth).agg(F.avg((F.col("n_balls") > 0).cast("double")).alias("recall"))
     near = neighbours(real, synth, 1).join(r_real, "id").agg(F.avg((F.col("distance") < F.col("radius")).cast("double")).alias("coverage"))

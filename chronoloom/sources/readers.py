@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
@@ -32,6 +33,20 @@ class Options:
             raise AttributeError(name) from None
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors reach: under the one the cluster names in spark.checkpoint.dir."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    return f"{root.rstrip('/')}/chronoloom-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in a shared folder and read back: what stands above is computed once, and
+    not again if an executor is lost."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
