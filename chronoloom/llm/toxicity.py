@@ -60,7 +60,7 @@ from chronoloom.llm.common import discard, read_table, store
 from chronoloom.llm.near_dedup import near_duplicates
 from chronoloom.llm.rule_ensemble import held_out
 
-FIT_TOXIC, FIT_CLEAN, FIT_SENTENCES = 1500, 3000, 50
+FIT_TOXIC, FIT_CLEAN, FIT_SENTENCES = 1500, 3000, 20
 #: A string as like as this to a landmark needs no landmark of its own (normalised kernel).
 COVERED = 0.5
 #: Documents that must hold a landmark, share of them that must be toxic, and probability of a chance find among all.
@@ -71,7 +71,7 @@ _FUNCTIONS = {
     "chronoloom_toxic_candidates": ("Candidates", "array<string>"),
     "chronoloom_string_kernel": ("Normalised", "double"),
     "chronoloom_covering": ("Covering", "array<string>"),
-    "chronoloom_toxic_features": ("Features", "array<double>"),
+    "chronoloom_toxic_features": ("Features", "binary"),
     "chronoloom_toxic_profile": ("Profile", "array<double>"),
 }
 
@@ -132,22 +132,23 @@ def disguised(words: list[str], rng: np.random.Generator) -> list[str]:
     return out
 
 
-def _rows(features: list[list[float]], n: int, most: int = FIT_SENTENCES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rows(features: list[bytes], n: int, most: int = FIT_SENTENCES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A row of likenesses for each sentence that has some, its text's number, and how many sentences have none."""
     rows, text, empty = [], [], np.zeros(len(features))
-    for i, x in enumerate(features):
-        x = np.asarray(x)
+    for i, packed in enumerate(features):
+        x = np.frombuffer(packed, "<f4")
         at, found = 1, []
         while at < len(x):
             k = int(x[at + 1])
-            row = np.zeros(n, np.float32)
-            row[x[at + 2 : at + 2 + 2 * k : 2].astype(int)] = x[at + 3 : at + 3 + 2 * k : 2]
-            found.append((x[at], row))
+            own = x[at + 2 : at + 2 + 2 * k]
+            found.append((-own[1::2].max(), x[at], own))
             at += 2 + 2 * k
         empty[i] = x[0] - len(found)
-        found = sorted(found, key=lambda f: f[0])[:most]
-        rows += [row for _, row in found]
-        text += [i] * len(found)
+        for _, _, own in sorted(found, key=lambda f: f[:2])[:most]:
+            row = np.zeros(n, np.float32)
+            row[own[::2].astype(int)] = own[1::2]
+            rows.append(row)
+            text.append(i)
     return np.array(rows, np.float32).reshape(-1, n), np.array(text, int), empty
 
 
@@ -155,16 +156,17 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, root: np.ndarray)
     """A linear machine on the rows of x times ``root`` (labels 1 and -1), squared hinge loss by Newton
     steps; sentences that are not toxic weigh ten times those that are: a document has many."""
     z = np.hstack([x @ root.astype(np.float32), np.ones((len(x), 1), np.float32)])
-    weight = weight.copy()
+    y, weight = y.astype(np.float32), weight.astype(np.float32)
     for side, all_ in ((1, 20_000), (-1, 200_000)):
         weight[y == side] *= all_ / max(1e-9, weight[y == side].sum())
     ridge = np.eye(z.shape[1])
     ridge[-1, -1] = 1e-6
     w = np.zeros(z.shape[1])
     for _ in range(15):
-        on = 1 - y * (z @ w) > 0
-        held = z[on] * weight[on][:, None]
-        new = np.linalg.solve(ridge + held.T @ z[on], held.T @ y[on])
+        on = 1 - y * (z @ w.astype(np.float32)) > 0
+        own = z[on]
+        held = own * weight[on][:, None]
+        new = np.linalg.solve(ridge + (held.T @ own).astype(float), (held.T @ y[on]).astype(float))
         if np.abs(new - w).max() < 1e-3:
             break
         w = 0.5 * w + 0.5 * new
@@ -185,6 +187,7 @@ def fit(sample: DataFrame, seed: int = 5) -> Machine | float:
     found = features(sample)
     toxic = np.array([r["y"] > 0 for r in found])
     x, text, empty = _rows([r["f"] for r in found], len(landmarks))
+    del found
     own = features(spark.createDataFrame([(0, w) for w in [*landmarks, *disguised(landmarks, rng)]], "y int, text string"))
     extra, which, _ = _rows([r["f"] for r in own], len(landmarks))
     # the landmarks' own likenesses make the map; values that count as none are none either way round

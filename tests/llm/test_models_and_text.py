@@ -8,6 +8,7 @@ import zlib
 from datetime import date
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -68,6 +69,29 @@ def test_scores_of_awkward_documents(spark):
     assert toxicity.scored(docs.limit(0), 0.5).count() == 0 and toxicity.fit_on(docs, labels.limit(0)) == 0.5
 
 
+def plain_statistics(text: str | None) -> list[float]:
+    x = text or ""
+    words = h.words(x, lower=True)
+    share = lambda part, whole: part / max(whole, 1)
+    space = " \t\n\x0b\x0c\r"
+    foreign = sum(c > "\x7f" for c in x)
+    upper, lower = sum("A" <= c <= "Z" for c in x), sum("a" <= c <= "z" for c in x)
+    lines = [line for line in x.split("\n") if line.strip(space)]
+    threes = list(zip(words, words[1:], words[2:]))
+    return [
+        np.log1p(len(words)), share(sum(c not in space for c in x), len(words)), share(sum(c in "#*$%&<>_=+~^@{}[]\\/`" for c in x), len(x)), share(upper, upper + lower + foreign), share(sum("0" <= c <= "9" for c in x), len(x)),
+        share(x.count("!"), len(words)), share(x.count("|"), len(words)), share(sum(c in ".,;:?'\"()-" for c in x), len(words)), share(foreign, len(x)), share(len(words), len(lines)),
+        share(len(lines) - len(set(lines)), len(lines)), share(len(threes) - len(set(threes)), len(threes)), share(len(set(words)), len(words)), share(sum(a == b for a, b in zip(words, words[1:])), len(words)), share(sum(c in space for c in x), len(x)),
+    ]
+
+
+def test_statistics_are_their_definitions():
+    r = random.Random(6)
+    texts = [t for _, t, *_ in h.documents(200, 4)] + ["".join(r.choice("aB é9#!|.\n\t-ß中😀") for _ in range(r.randrange(300))) for _ in range(150)]
+    got = statistics.statistics(pa.array(texts, pa.string()))
+    assert got.shape == (len(texts), len(statistics.NAMES)) and np.allclose(got, [plain_statistics(t) for t in texts])
+
+
 # -- toxicity ---------------------------------------------------------------------------------------------------
 
 
