@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chronoloom.sources import generators
 
 #: Series and length that the queries make; sources take any.
-N_SERIES, LENGTH = 64, 256
+N_SERIES, LENGTH = 64, 1024
 
 
 def synth(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
