@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +101,7 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
         pid, before, at, last = TaskContext.get().partitionId(), object(), 0, None
         number = pid << 33  # in the order of conversations and turns
         for batch in batches:
-            out = []
+            out, strings = [], []
             for conv, turn, role, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if conv != before:
                     before, at, last = conv, 0, None
@@ -109,8 +110,12 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
                 keys = [x for x in keys if len(x) >= LEAST_CHARS]
                 quoted = [(i, level, normalised(x)) for i, (level, lines) in enumerate(passages) for x in dict.fromkeys(["\n".join(lines), *lines])]
                 quoted = [x for x in quoted if len(x[2]) >= LEAST_CHARS]
-                out.append((number, pid, conv, turn, role, own, at, last, _hashes(keys).tolist(), [q[0] for q in quoted], [q[1] for q in quoted], [len(q[2]) for q in quoted], _hashes([q[2] for q in quoted]).tolist()))
+                out.append((number, pid, conv, turn, role, own, at, last, len(keys), [q[0] for q in quoted], [q[1] for q in quoted], [len(q[2]) for q in quoted], len(quoted)))
+                strings += keys + [q[2] for q in quoted]
                 number, at, last = number + 1, at + 1, turn
+            # all strings of a batch are hashed at once
+            hashes = iter(_hashes(strings).tolist())
+            out = [(*x[:8], list(islice(hashes, x[8])), *x[9:12], list(islice(hashes, x[12]))) for x in out]
             columns = zip(*out, strict=True) if out else [[]] * len(names)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)

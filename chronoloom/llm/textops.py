@@ -24,8 +24,8 @@ SLICE_BYTES = 400_000
 
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Spans longer than this are hashed one by one.
-LONG_SPAN = 4096
+#: Spans longer than this are hashed one by one, each as a whole: eight bytes at a time pay for many short spans only.
+LONG_SPAN = 128
 _HEAD = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 SPACE = np.zeros(256, bool)
