@@ -348,6 +348,47 @@ def test_null_baseline_is_the_metrics_of_halves(spark):
     assert rows(coverage.capped(x, 7), "id") == rows(coverage.capped(x.repartition(3), 7), "id")
 
 
+def test_null_baseline_takes_as_many_jobs_for_any_number_of_splits(spark):
+    x = cloud(spark, np.random.default_rng(8).normal(size=(60, 3)))
+    n = []
+    for splits in (1, 4):
+        spark.sparkContext.setJobGroup(f"null{splits}", "")
+        assert coverage.null_baseline(x, splits, 3).count() == 9
+        n.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"null{splits}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert n[1] <= n[0] + 3 and n[1] < 60
+
+
+def test_points_found_by_bounds_are_those_of_all_distances(monkeypatch):
+    """Ties, equal points, clouds far from 0, very small, large and infinite values: to the same bit."""
+    monkeypatch.setattr(coverage, "TILE", 32)
+    r = np.random.default_rng(9)
+    for t in range(160):
+        n, m, d = r.integers(1, 40), r.integers(1, 200), r.integers(1, 70)
+        x, y = r.normal(size=(n, d)), r.normal(size=(m, d))
+        if t % 8 == 1:
+            x, y = np.round(x), np.round(y)
+        elif t % 8 == 2:
+            x, y = x + 1e6, y + 1e6
+        elif t % 8 == 3:
+            y[:] = x[0]
+        elif t % 8 in (4, 5):
+            x, y = (v * (1e-200 if t % 8 == 4 else 1e170) for v in (x, y))
+        elif t % 8 == 6:
+            y[0, 0] = r.choice([np.nan, np.inf])
+        elif t % 8 == 7:
+            x[: min(n, m)] = y[: min(n, m)]
+            x[0] *= 1e9
+        at, k, block = np.flatnonzero(r.random(m) < 0.7), int(r.integers(1, 8)), coverage.Block(np.arange(m), y)
+        with np.errstate(all="ignore"):
+            every = coverage.distances(x, y[at])
+            order = np.argsort(every, 1, kind="stable")[:, :k]
+            got, place = block.nearest(x, at, k)
+            assert np.array_equal(got, np.take_along_axis(every, order, 1), equal_nan=True) and np.array_equal(place, at[order])
+            radius = r.choice([0.0, 1.0, *every.ravel()], len(at))
+            assert np.array_equal(block.holding(x, at, radius), (every < radius).sum(1))
+
+
 def test_composition_table(spark):
     data = [("e", c, h, s, f"t{k}", 1.0 + k + s + (c == "b")) for c in "ab" for h in ("short", "long") for s in (1, 2) for k in range(3)]
     df = spark.createDataFrame(data, "domain string, condition string, horizon string, seed int, dataset string, crps double")
