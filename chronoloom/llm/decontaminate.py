@@ -15,7 +15,11 @@ it differs, and so does what the mask skips, so a stretch is one row of the join
 stretch that has the equal tokens it needs has them within its first 18, for the
 same reason; where more than ``COMMON`` items have a seed, the join compares short
 fingerprints of the next 21 tokens, so that a phrase that many items hold does not
-make a pair of each with each document that holds it.
+make a pair of each with each document that holds it. Pieces that count together only
+and all begin with such seeds lie on diagonals at most ``MOST_SHIFT`` apart: items with the same
+common seeds at the same distances are one template, a text is joined with templates, and where two
+diagonals of a template are so near, it is compared with all its items. Whatever made a pair, an
+item with common seeds is then compared along every diagonal that a seed of the two gives.
 
 Only seeds that some item may have leave a task: up to ``EXACT_SEEDS`` seeds of the
 benchmark, or a bitmap of 2 ** ``MOST_BITS`` bits however many there are, tell which.
@@ -26,8 +30,7 @@ so punctuation and spacing do not matter.
 
 Defined results: null or empty texts on either side overlap with nothing; items
 of fewer than 4 tokens are too short to tell and match nothing, those of 4 to 7
-only as a whole; pieces that count together have 4 equal tokens each, those that
-begin with a seed of more than ``COMMON`` items what the item needs; of stretches with one score
+only as a whole; pieces that count together have 4 equal tokens each; of stretches with one score
 the one that begins first counts, up to its last end with that score, and of diagonals
 with equally many equal tokens the one whose stretch begins first; rows that share a doc_id or an
 item_id, and rows without one, are each compared; an empty table on either side
@@ -202,7 +205,14 @@ class Index:
         many = found.groupBy("seed").agg((F.count_distinct("cls") > COMMON).alias("common"))
         self.seeds = store(found.join(many, "seed"))
         discard(found)
-        n_seeds = self.seeds.count()
+        n_seeds, n_common = self.seeds.agg(F.count(F.lit(1)), F.count_if("common")).first()
+        # items by the places of their common seeds: a hash that two share makes pairs too many, never too few
+        self.alike = self.templates = None
+        if n_common:
+            common = self.seeds.where("common").groupBy("cls").agg(F.array_sort(F.collect_set(F.struct("at", "seed"))).alias("places"))
+            common = common.withColumn("places", F.expr("transform(places, x -> struct(x.at - places[0].at AS at, x.seed AS seed))"))
+            self.alike = store(common.select("cls", F.xxhash64("places").alias("template"), "places"))
+            self.templates = store(self.alike.select("template", F.explode("places").alias("p")).select("template", "p.at", "p.seed").distinct())
         self.known = Seeds(self.seeds, "seed", n_seeds)
         lengths = self.classes.where(f"length(tokens) < {8 * SHORT}").select((F.length("tokens") / 8).cast("int").alias("n")).distinct().collect()
         self.lengths = {r["n"] for r in lengths}
@@ -210,8 +220,9 @@ class Index:
 
     def discard(self) -> None:
         """Delete its tables once what was found is written."""
-        for table in (self.classes, self.items, self.seeds):
-            discard(table)
+        for table in (self.classes, self.items, self.seeds, self.alike, self.templates):
+            if table is not None:
+                discard(table)
 
 
 def text_key(text: Column) -> list[Column]:
@@ -303,6 +314,23 @@ def _chained(pieces: list[tuple[int, int, int, int]], size: int) -> tuple[int, i
     return best
 
 
+def diagonals(doc: np.ndarray, items: list[np.ndarray]) -> list[np.ndarray]:
+    """Where each item's first token would stand, for all seeds that a text and an item have in common."""
+    of_item = lambda h: begun(h, np.zeros(len(h), np.int8), {len(h)} if len(h) < SHORT else set(), 1, first=np.zeros(1))
+    own = [of_item(h) for h in items]
+    of, own = np.repeat(np.arange(len(items)), [x.shape[1] for x in own]), np.concatenate(own, 1)
+    known = np.unique(own[1])
+    keep = lambda seed: known[np.minimum(np.searchsorted(known, seed), len(known) - 1)] == seed
+    text = begun(doc, np.zeros(len(doc), np.int8), {len(h) for h in items if len(h) < SHORT}, 0, keep=keep)
+    text = text[:, np.argsort(text[1], kind="stable")]
+    lo, hi = np.searchsorted(text[1], own[1]), np.searchsorted(text[1], own[1], "right")
+    i = np.repeat(np.arange(len(of)), hi - lo)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - hi, hi - lo)
+    met = (text[2][j] != own[2][i]) & (text[3][j] != own[3][i])
+    base, of = text[0][j[met]].astype(np.int64) - own[0][i[met]].astype(np.int64), of[i[met]]
+    return [np.unique(base[of == k]) for k in range(len(items))]
+
+
 def proven(doc: np.ndarray, items: list[np.ndarray], bases: list[list[int]]) -> Iterator[tuple[int, int, int, int]]:
     """(item, first token, last token + 1, equal tokens) of the items that overlap, from their hits' diagonals."""
     of = np.repeat(np.arange(len(items)), [len(b) for b in bases])
@@ -327,10 +355,19 @@ def overlapping_texts(docs: DataFrame, index: Index, text: str = "text") -> Data
     hits = found.select("f1", "f2", F.explode(F.arrays_zip(*_BEGUN)).alias("s")).select("f1", "f2", "s.*").distinct().alias("d")
     begins = "d.seed = i.seed AND d.before <> i.before AND d.skipped <> i.skipped"
     met = hits.join(index.seeds.alias("i"), F.expr(f"{begins} AND (NOT i.common OR {_equal_prints('d', 'i')} >= i.needed)"))
-    pairs = met.groupBy("f1", "f2", "cls").agg(F.collect_set(F.col("d.at") - F.col("i.at")).alias("bases"))
+    met = met.select("f1", "f2", "cls", (F.col("d.at") - F.col("i.at")).alias("base"))
+    classes = index.classes.withColumn("common", F.lit(False))
+    if index.alike is not None:
+        placed = hits.join(index.templates.alias("t"), "seed").select("f1", "f2", "template", (F.col("d.at") - F.col("t.at")).alias("base"))
+        placed = placed.groupBy("f1", "f2", "template").agg(F.sort_array(F.collect_set("base")).alias("b"))
+        near = placed.where(f"exists(zip_with(slice(b, 2, size(b)), b, (x, y) -> x - y), x -> x <= {MOST_SHIFT})").select("f1", "f2", "template")
+        alike = index.alike.select("cls", "template")
+        met = met.unionByName(near.join(alike, "template").select("f1", "f2", "cls", F.lit(None).cast("long").alias("base")))
+        classes = index.classes.join(alike.select("cls", F.lit(True).alias("c")), "cls", "left").select("cls", "tokens", F.col("c").isNotNull().alias("common"))
+    pairs = met.groupBy("f1", "f2", "cls").agg(F.collect_set("base").alias("bases"))
     # a text that hits very many items is compared in several tasks
-    pairs = pairs.join(index.classes, "cls").withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(64)))
-    sides = pairs.groupBy("f1", "f2", "part").agg(F.collect_list(F.struct("cls", "bases", "tokens")).alias("items"))
+    pairs = pairs.join(classes, "cls").withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(64)))
+    sides = pairs.groupBy("f1", "f2", "part").agg(F.collect_list(F.struct("cls", "bases", "tokens", "common")).alias("items"))
     texts = found.groupBy("f1", "f2").agg(F.first("tokens").alias("doc"))
     names = ["f1", "f2", "cls", "first_token", "end_token", "n_equal", "n_item"]
 
@@ -338,8 +375,11 @@ def overlapping_texts(docs: DataFrame, index: Index, text: str = "text") -> Data
         for batch in batches:
             out = []
             for f1, f2, doc, items in zip(*(c.to_pylist() for c in batch.columns)):
-                own = [np.frombuffer(x["tokens"], np.uint64) for x in items]
-                for i, *rest in proven(np.frombuffer(doc, np.uint64), own, [x["bases"] for x in items]):
+                own, doc = [np.frombuffer(x["tokens"], np.uint64) for x in items], np.frombuffer(doc, np.uint64)
+                bases, common = [x["bases"] for x in items], [i for i, x in enumerate(items) if x["common"]]
+                for i, base in zip(common, diagonals(doc, [own[i] for i in common]) if common else []):
+                    bases[i] = base
+                for i, *rest in proven(doc, own, bases):
                     out.append((f1, f2, items[i]["cls"], *rest, len(own[i])))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * len(names))], names=names)
 

@@ -364,6 +364,30 @@ def test_a_phrase_that_begins_many_items(spark):
     index.discard()
 
 
+def test_pieces_that_begin_with_what_many_items_hold_count_together(spark):
+    """Phrases of more than COMMON items around tokens of their own, with tokens put in, left out and replaced: what all diagonals give."""
+    r = random.Random(14)
+    parts = ["which of these five things", "has never been seen before", "in any of the rooms", "according to the guide"]
+    items = {i: " ".join(f"{p} {' '.join(f'q{i}w{j}{k}' for k in range(r.choice([1, 1, 2])))}" for j, p in enumerate(parts[: r.choice([2, 3, 4])])) for i in range(3 * decontaminate.COMMON)}
+    texts = {0: f"before {parts[0]} one new {parts[1]} after", 1: f"{parts[0]} and nothing else", 2: f"{parts[1]} x {parts[0]}"}
+    for i in range(3, 60):
+        w = items[r.randrange(len(items))].split()
+        for _ in range(r.randrange(6)):
+            at = r.randrange(len(w))
+            w[at : at + r.choice([0, 1, 1])] = [f"n{r.randrange(9)}" for _ in range(r.choice([0, 1, 1, 2]))]
+        texts[i] = " ".join(["f0"] * r.randrange(3) + w + ["f1"] * r.randrange(30) + r.choice(parts).split())
+    hashed = lambda d: {k: decontaminate.tokens(pa.array([t], pa.large_string()))[0] for k, t in d.items()}
+    a, b, want = hashed(items), hashed(texts), set()
+    for i, text in b.items():
+        for k, item in a.items():
+            want |= {(i, k, *found[1:]) for found in decontaminate.proven(text, [item], [list(range(-len(item) + 1, len(text)))])}
+    df = h.frame(spark, [(i, t, None, None, None) for i, t in texts.items()])
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"], x["first_token"], x["end_token"], x["n_equal"]) for x in decontaminate.find_overlaps(df, bench).collect()}
+    assert got == want and {0} < {x[0] for x in want} and not {1, 2} & {x[0] for x in want}
+    assert {x["doc_id"] for x in decontaminate.drop_contaminated(df, bench).collect()} == set(texts) - {x[0] for x in want}
+
+
 def test_seeds_are_known_exactly_or_by_a_bitmap(spark, monkeypatch):
     rng = np.random.default_rng(3)
     some, others = (rng.integers(0, 2**64, 3000, dtype=np.uint64) for _ in range(2))
